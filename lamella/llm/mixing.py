@@ -83,7 +83,7 @@ def flight(sizes: list, probs: list, rng: random.Random, land: bool) -> list:
 
 def _decide(seed: int, land: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", "doc_id", "size"], kind="stable")
+        rows = rows.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable")  # what stays undecided is small
         key = f"{seed}|{rows['source'].iat[0]!r}|{rows['block'].iat[0]}|{land}"
         rows["p"] = flight(rows["size"].tolist(), rows["p"].tolist(), random.Random(zlib.crc32(key.encode())), land)
         return rows
