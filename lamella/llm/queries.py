@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from lamella.llm.chat import OP7_SQL, op7_chat_format
+from lamella.llm.langid import op9_lang_ppm
+from lamella.llm.lm import op3_lm_ppm
 from lamella.llm.mixing import op8_mix_cube
 
 QUERIES = {
+    "op3_lm_ppm": op3_lm_ppm,
     "op7_chat_format": op7_chat_format,
     "op8_mix_cube": op8_mix_cube,
+    "op9_lang_ppm": op9_lang_ppm,
 }
 ORACLE_SQL = {"op7_chat_format": OP7_SQL}
