@@ -3,10 +3,11 @@
 Equal vectors are one class. Cluster centres are fitted on a bounded sample (SAMPLE vectors); every vector is a member
 of the shards of its OVERLAP nearest centres. Each shard builds its graph by robust pruning (an edge to a neighbour is
 dropped if an earlier, nearer neighbour is nearer still to it by the factor ALPHA), and the adjacency lists that a
-vector got in several shards are united. Then every vector is a query in the shards of its PROBES nearest centres: a
-greedy search with a beam starts at the shard's medoid, and from all nodes within the range (and a little beyond) the
-search goes on expanding until no new one appears. Hits are verified in double precision. A partner counts in its
-first shard only, so each is counted once; links are closed inside each task first and then between tasks.
+vector got in several shards are united; a few random edges keep islands of near copies reachable. Then every vector
+is a query in the shards of its PROBES nearest centres: a greedy search with a beam starts at the shard's medoid, and
+from all nodes within the range (and a little beyond) the search goes on expanding until no new one appears. Hits are
+verified in double precision. A partner that is a member of several of a query's shards counts in the nearest of them
+only; links are closed inside each task first and then between tasks.
 
 A shard with more than MEMBERS vectors is split by a hash into pieces, and each of its queries goes to all of them; so
 no task holds an unbounded group and no vector is left out. `audit` compares a bounded sample of queries with all
@@ -19,8 +20,6 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,9 +32,9 @@ from lamella.workspace import Workspace
 LEAST_COSINE = 0.95
 SAMPLE, SHARD, MEMBERS, QUERIES = 8192, 1000, 4096, 4096
 OVERLAP, PROBES = 2, 3
-DEGREE, CANDIDATES, ALPHA = 16, 40, 1.2
-BEAM, MARGIN, BLOCK = 16, 0.04, 256
-AUDIT, LEAST_RECALL = 64, 0.95
+DEGREE, CANDIDATES, NEAREST, ALPHA = 16, 40, 20, 1.2
+RANDOM, BEAM, MARGIN, BLOCK = 2, 16, 0.04, 512
+AUDIT, LEAST_RECALL = 256, 0.97
 
 
 def centres(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 10) -> np.ndarray:
@@ -56,7 +55,7 @@ def robust_prune(vectors: np.ndarray, degree: int = DEGREE, candidates: int = CA
     n = len(vectors)
     if n < 2:
         return [np.zeros(0, int) for _ in range(n)]
-    k, out = min(candidates, n - 1), [[] for _ in range(n)]
+    k, out, close = min(candidates, n - 1), [[] for _ in range(n)], []
     for a in range(0, n, 512):
         near = vectors[a : a + 512] @ vectors.T
         near[np.arange(len(near)), np.arange(a, a + len(near))] = -2
@@ -70,78 +69,87 @@ def robust_prune(vectors: np.ndarray, degree: int = DEGREE, candidates: int = CA
             take = alive[:, c] & (chosen.sum(1) < degree)
             chosen[take, c] = True
             alive &= ~(take[:, None] & (alpha * among[:, c] <= gap))
+        close.append(top[:, :NEAREST])
         for i in range(len(near)):
             out[a + i] = top[i][chosen[i]].tolist()
+    rng = np.random.default_rng(n)
     back: list = [[] for _ in range(n)]
+    for ring in (rng.permutation(n) for _ in range(RANDOM)):
+        for i, j in zip(ring, np.roll(ring, 1)):
+            back[i].append(j), back[j].append(i)
     for i, mine in enumerate(out):
         for j in mine:
+            if len(back[j]) < degree:
+                back[j].append(i)
+    for i, mine in enumerate(np.concatenate(close).tolist()):  # every vector is reached from two near ones, not only from hubs
+        for j in sorted(mine, key=lambda j: len(back[j]))[:2]:
             back[j].append(i)
-    return [np.array(sorted({*mine, *back[i][: 2 * degree]}), int) for i, mine in enumerate(out)]
+    return [np.array(sorted({*mine, *back[i]} - {i}), int) for i, mine in enumerate(out)]
 
 
 class Search:
-    """Range-expanding greedy search in one graph; for blocks of queries at once."""
+    """Range-expanding greedy search in one graph; for blocks of queries at once, in single precision."""
 
     def __init__(self, vectors: np.ndarray, neighbours: list, start: int, beam: int):
-        self.vectors, self.start, self.beam = vectors, start, beam
+        self.exact, self.vectors, self.start, self.beam = vectors, vectors.astype(np.float32), start, beam
         width = max([1, *map(len, neighbours)])
         self.near = np.full((len(vectors), width), -1, np.int32)
         for i, mine in enumerate(neighbours):
             self.near[i, : len(mine)] = mine
 
     def ranged(self, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) numbers with a cosine of at least `least`."""
+        """(query, node) numbers with a cosine of at least `least`, verified in double precision."""
+        single = queries.astype(np.float32)
         q, n, beam = len(queries), len(self.vectors), self.beam
-        every = np.arange(q)
         seen = np.zeros((q, n), bool)
         seen[:, self.start] = True
         ids = np.full((q, beam), -1, np.int32)
-        sims = np.full((q, beam), -3.0)
+        sims = np.full((q, beam), -3, np.float32)
         done = np.ones((q, beam), bool)
-        ids[:, 0], sims[:, 0], done[:, 0] = self.start, queries @ self.vectors[self.start], False
-        hits = [(every, np.full(q, self.start), sims[:, 0].copy())]
-        active = every
+        ids[:, 0], sims[:, 0], done[:, 0] = self.start, single @ self.vectors[self.start], False
+        floor = np.float32(least - MARGIN)
+        first = np.flatnonzero(sims[:, 0] >= floor)
+        hits = [(first, np.full(len(first), self.start))]
+        active = np.arange(q)
         while len(active):
-            open_ = np.where(done[active], -9.0, sims[active])
-            at = open_.argmax(1)
+            at = np.where(done[active], np.float32(-9), sims[active]).argmax(1)
             node = ids[active, at]
             done[active, at] = True
             near = self.near[node]
-            fresh = (near >= 0) & ~seen[active[:, None], near]
-            rows, cols = np.nonzero(fresh)
-            who, what = active[rows], near[rows, cols]
-            seen[who, what] = True
-            new = np.full(near.shape, -3.0)
-            new[rows, cols] = got = np.einsum("ij,ij->i", queries[who], self.vectors[what])
-            hits.append((who, what, got))
-            all_sims = np.concatenate([sims[active], new], 1)
-            all_ids = np.concatenate([ids[active], np.where(fresh, near, -1)], 1)
-            all_done = np.concatenate([done[active], ~fresh], 1)
+            got = np.einsum("id,ikd->ik", single[active], self.vectors[near])
+            got[(near < 0) | seen[active[:, None], near]] = -3
+            seen[active[:, None], np.where(near < 0, self.start, near)] = True
+            rows, cols = np.nonzero(got >= floor)
+            hits.append((active[rows], near[rows, cols]))
+            all_sims = np.concatenate([sims[active], got], 1)
+            all_ids = np.concatenate([ids[active], near], 1)
+            all_done = np.concatenate([done[active], got == -3], 1)
             top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
             sims[active], ids[active], done[active] = (np.take_along_axis(x, top, 1) for x in (all_sims, all_ids, all_done))
             active = active[~done[active].all(1)]
-        who, what, sim = (np.concatenate(x) for x in zip(*hits))
-        wide = sim >= least - MARGIN
-        who, what, sim = who[wide], what[wide], sim[wide]
-        found, front = [(who, what, sim)], (who, what)
+        front = tuple(np.concatenate(x) for x in zip(*hits))
+        found = [front]
         while len(front[0]):  # from everything in range, until nothing new is
             near = self.near[front[1]]
             owner = np.repeat(front[0], near.shape[1])
             near = near.ravel()
-            ok = near >= 0
-            owner, near = owner[ok], near[ok]
-            ok = ~seen[owner, near]
+            ok = (near >= 0) & ~seen[owner, near]
             pair = np.unique(owner[ok].astype(np.int64) * n + near[ok])
             owner, near = pair // n, pair % n
             seen[owner, near] = True
-            sim = np.empty(len(near))
-            for a in range(0, len(near), 1 << 16):
-                sim[a : a + (1 << 16)] = np.einsum("ij,ij->i", queries[owner[a : a + (1 << 16)]], self.vectors[near[a : a + (1 << 16)]])
-            wide = sim >= least - MARGIN
+            wide = self._cosines(single, self.vectors, owner, near) >= floor
             front = owner[wide], near[wide]
-            found.append((owner[wide], near[wide], sim[wide]))
-        who, what, sim = (np.concatenate(x) for x in zip(*found))
-        return who[sim >= least], what[sim >= least]
+            found.append(front)
+        who, what = (np.concatenate(x) for x in zip(*found))
+        real = self._cosines(queries, self.exact, who, what) >= least
+        return who[real], what[real]
+
+    @staticmethod
+    def _cosines(x: np.ndarray, y: np.ndarray, who: np.ndarray, what: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+        out = np.empty(len(who), x.dtype)
+        for a in range(0, len(who), step):
+            out[a : a + step] = np.einsum("ij,ij->i", x[who[a : a + step]], y[what[a : a + step]])
+        return out
 
 
 def _unit(rows: pd.Series, width: int) -> np.ndarray:
@@ -150,7 +158,7 @@ def _unit(rows: pd.Series, width: int) -> np.ndarray:
 
 
 def _route(centre, n: int, pieces, blocks):
-    """Rows (shard, piece, part, id, copies, embedding, nbrs, rank): members of their first shards, queries in `n`."""
+    """ROUTED rows: members of their OVERLAP nearest shards and, if n is greater, queries in their n nearest ones."""
 
     def run(batches):
         mid, split, queries = centre.value, pieces.value, blocks.value
@@ -165,6 +173,7 @@ def _route(centre, n: int, pieces, blocks):
             top = np.argpartition(-near, k - 1, axis=1)[:, :k]
             top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
             salt = batch.column(3).to_numpy()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(top) + 1, dtype=np.int32) * k), pa.array(top.astype(np.int32).ravel()))
             row, rank, shard, piece, part, member = [], [], [], [], [], []
             for r in range(k):
                 own = top[:, r]
@@ -185,14 +194,14 @@ def _route(centre, n: int, pieces, blocks):
                 cut = slice(a, a + 20_000)
                 own = at[cut]
                 yield pa.RecordBatch.from_arrays(
-                    [cat(shard, np.int32)[cut], cat(piece, np.int32)[cut], cat(part, np.int32)[cut], *(batch.column(i).take(own) for i in (0, 1, 2, 4)), cat(rank, np.int32)[cut], pa.array(np.concatenate(member))[cut]],
-                    names=["shard", "piece", "part", "id", "copies", "embedding", "nbrs", "rank", "member"],
+                    [cat(shard, np.int32)[cut], cat(piece, np.int32)[cut], cat(part, np.int32)[cut], *(batch.column(i).take(own) for i in (0, 1, 2, 4)), cat(rank, np.int32)[cut], pa.array(np.concatenate(member))[cut], lists.take(own)],
+                    names=["shard", "piece", "part", "id", "copies", "embedding", "nbrs", "rank", "member", "nearest"],
                 )
 
     return run
 
 
-ROUTED = "shard int, piece int, part int, id long, copies long, embedding array<double>, nbrs array<long>, rank int, member boolean"
+ROUTED = "shard int, piece int, part int, id long, copies long, embedding array<double>, nbrs array<long>, rank int, member boolean, nearest array<int>"
 
 
 def _build(width: int):
@@ -219,7 +228,10 @@ def _search(centre, width: int, least: float, beam: int):
                 near.append(at[ids[at] == mine])
             medoid = int((x @ centre.value[int(rows["shard"].iat[0])]).argmax())
             search = Search(x, near, medoid, beam)
-            first, copies = (member["rank"] == 0).to_numpy(), member["copies"].to_numpy()
+            copies, rank = member["copies"].to_numpy(), query["rank"].to_numpy()
+            homes = np.stack([np.asarray(h)[:OVERLAP] for h in member["nearest"]])
+            nearer = np.stack([np.asarray(h) for h in query["nearest"]])
+            nearer[np.arange(nearer.shape[1])[None, :] >= rank[:, None]] = -1  # the query's shards before this one
             parent = {}
 
             def find(k):
@@ -231,7 +243,8 @@ def _search(centre, width: int, least: float, beam: int):
                 who, what = search.ranged(y[a : a + BLOCK], least)
                 other = ids[what] != own[a + who]
                 who, what = who[other], what[other]
-                links[a : a + BLOCK] += np.bincount(who, copies[what] * first[what], min(BLOCK, len(own) - a)).astype(np.int64)
+                here = ~(homes[what][:, :, None] == nearer[a + who][:, None, :]).any((1, 2))
+                links[a : a + BLOCK] += np.bincount(who, copies[what] * here, min(BLOCK, len(own) - a)).astype(np.int64)
                 for i, j in zip(own[a + who].tolist(), ids[what].tolist()):
                     i, j = find(i), find(j)
                     if i != j:
