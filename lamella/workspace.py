@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,11 @@ class Workspace:
             if t is not None:
                 self._delete(t.lamella_path)
 
+    def tidy(self) -> None:
+        """Lets Spark remove the shuffle files of finished queries now, and not whenever the driver collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
