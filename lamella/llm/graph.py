@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 from lamella.workspace import Workspace
 
 
-def stars(members: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """For (key, id) rows: saved shared (key, pivot), the least id of each key that has two ids; saved pairs (id, pivot)."""
-    shared = members.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last")
-    shared = work.save(shared.select("key", "pivot"), "shared")
-    pairs = members.join(shared, "key").where("id <> pivot").select("id", "pivot").distinct()
-    return shared, work.save(pairs, "pairs")
+def shared_buckets(members: DataFrame, work: Workspace) -> DataFrame:
+    """The saved (key, id, size) of those (key, id) rows, without repeated ones, whose key has several; size: how many."""
+    shared = work.save(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    return work.save(members.join(shared, "key"), "buckets")
 
 
 def _is_star(edges: DataFrame) -> bool:

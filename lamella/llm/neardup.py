@@ -6,10 +6,10 @@ which they differ in at most one; so each chunk is indexed five times, each time
 every pair within that distance meets in a bucket. Sets with a Jaccard similarity of 0.85 differ in 9 symbols on
 average, and in more than 23 with a probability of about 1e-6.
 
-Equal sets are one class first. Of a bucket, only the pairs with its least member go on; the members that this leaves
-in another component than most of their bucket are then compared with all of the bucket's members of other
-components, under the signature distance. Pairs already connected need no look. What passes is confirmed on the full
-sets, and links are closed to components.
+Equal sets are one class first. A bucket's members are compared with its most central one, and then all those still in
+different components with each other; pairs already connected, or too different in any case, need no look (see
+bucket_components). Pairs within the signature distance are confirmed on the full sets, and links are closed to
+components.
 
 Defined results: a null text, or one without words, has an empty set and links with nothing; a text with fewer words
 than a shingle is one shingle; repeated rows stay and share a class; a row with a null doc_id keeps a null component
@@ -139,30 +139,73 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_confirm(percent), "a long, b long")
 
 
+#: Rounds in which each bucket is compared with one member.
+STARS = 2
+#: 64-bit words of a set's bitmap.
+BITMAP = 32
+_BITS = [f"w{k}" for k in range(BITMAP)]
+
+
+def _bitmaps(batches):
+    """For each set its size, how many of its values share a bit with another one, and the bitmap of hashed values."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        values = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+        size = np.array([len(v) for v in values])
+        bits = np.zeros((n, BITMAP * 64), np.uint8)
+        bits[np.repeat(np.arange(n), size), (mix64(np.concatenate(values)) >> np.uint64(40)) % np.uint64(BITMAP * 64)] = 1
+        words = np.packbits(bits, axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(size - bits.sum(1, dtype=np.int64)), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(BITMAP))], names=["id", "n", "lost", *_BITS])
+
+
 def bucket_components(members: DataFrame, close, sets_of, percent: int, work: Workspace) -> DataFrame:
     """(node, component) of ids that share a key of members (key, id) and whose sets are similar; see components().
 
-    close(pairs (a, b)) may drop pairs that can't be similar; sets_of(pairs) gives saved (id, members) for their ids."""
-    shared, pairs = graph.stars(members, work)
-    first = work.save(close(pairs.select(F.col("id").alias("a"), F.col("pivot").alias("b"))), "near")
-    links = work.save(confirm(first, sets_of(first), percent), "links")
-    found = graph.components(links, work)
+    close(pairs (a, b)) may drop pairs that can't be similar; sets_of(ids (id)) gives saved (id, members).
+
+    Each bucket is compared with one member at first: the one that meets most others in all its buckets, which is the
+    original where the others are its copies; then with the like member of those that this didn't connect. Then all
+    pairs of a bucket that are still of different components are compared, whatever their number; pairs of one
+    component need no look. Of these, only the pairs go on whose sets can
+    be similar: an intersection is no larger than what the sets' bitmaps have in common, plus the values that a bitmap
+    lost to collisions. That tells apart the many copies of one text that are too far from each other."""
+    members = graph.shared_buckets(members, work)
+    sets = sets_of(work.save(members.select("id").distinct(), "ids"))
+    weight = work.save(members.groupBy("id").agg(F.sum("size").alias("weight")), "weight")
+    members = work.save(members.join(weight, "id").select("key", "id", "weight"), "members")
     work.tidy()
-    # the members of shared buckets, with their components so far, and the component of most of each bucket
-    grouped = members.join(shared.select("key"), "key").join(found.withColumnRenamed("node", "id"), "id", "left")
-    grouped = work.save(grouped.select("key", "id", F.coalesce("component", "id").alias("component")), "grouped")
-    sizes = grouped.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max("n").alias("n"), F.max_by("component", "n").alias("main"), F.count("*").alias("parts"))
-    main = work.save(main.where("parts > 1").select("key", "main"), "main")
-    rest = work.save(grouped.join(main, "key"), "rest")
-    strays = work.save(rest.where("component <> main").select("key", F.col("id").alias("stray"), F.col("component").alias("own")), "strays")
-    cross = rest.join(strays, "key").where("own <> component AND (component = main OR stray < id)")
-    cross = close(work.save(cross.select(F.greatest("id", "stray").alias("a"), F.least("id", "stray").alias("b")).distinct(), "cross"))
-    cross = work.save(cross.join(first, ["a", "b"], "left_anti"), "cross")
-    if cross.limit(1).count():
-        more = work.save(confirm(cross, sets_of(cross), percent), "more")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.greatest("id", "stray").alias("a"), F.least("id", "stray").alias("b")).distinct()
+        return work.save(confirm(work.save(close(work.save(pairs, "pairs")), "close"), sets, percent), "links")
+
+    links, found, open_ = None, None, members
+    for _ in range(STARS):
+        first = work.save(open_.groupBy("key").agg(F.max_by("id", "weight").alias("stray")) if found is None else open_.where("component <> main").groupBy("key").agg(F.max_by("id", "weight").alias("stray"), F.max_by("component", "weight").alias("own")), "first")
+        pairs = open_.join(first, "key").where("id <> stray")
+        new = linked(pairs if found is None else pairs.where("component <> own"))
+        links = new if links is None else work.save(links.unionByName(new), "links")
+        found = graph.components(links, work)
+        now = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        now = work.save(now, "now")
+        sizes = now.groupBy("key", "component").agg(F.count("*").alias("size"))
+        main = sizes.groupBy("key").agg(F.max_by("component", "size").alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        open_ = work.save(now.join(work.save(main.select("key", "main"), "main"), "key"), "open")
+        work.tidy()
+    open_ = open_.drop("weight")
+    shape = "id long, n long, lost long, " + ", ".join(f"{w} long" for w in _BITS)
+    facts = sets.join(open_.select("id").distinct(), "id", "left_semi").mapInArrow(_bitmaps, shape)
+    open_ = work.save(open_.join(work.save(facts, "facts"), "id"), "open")
+    renamed = {"id": "stray", "component": "own", "n": "stray_n", "lost": "stray_lost"} | {w: f"s_{w}" for w in _BITS}
+    strays = work.save(open_.where("component <> main").drop("main").withColumnsRenamed(renamed), "strays")
+    common = " + ".join(f"bit_count({w} & s_{w})" for w in _BITS)
+    alike = f"(least(lost, stray_lost) + {common}) * {100 + percent} >= {percent} * (n + stray_n)"
+    more = linked(open_.join(strays, "key").where("own <> component AND (component = main OR stray < id)").where(alike))
+    if more.limit(1).count():
         found = graph.components(links.unionByName(more), work)
-    work.drop(pairs, grouped, rest, strays)
+    work.drop(sets, open_, strays)
     return found
 
 
@@ -181,11 +224,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, work: Workspace | N
         left, right = (signs.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
         return pairs.join(left, "a").join(right, "b").where(distance(F.col("sig_a"), F.col("sig_b")) <= DISTANCE).select("a", "b")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = work.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        ids = ids.withColumnRenamed("id", "doc_id")
         return work.save(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, members binary"), "sets")
 
-    found = bucket_components(signs.mapInArrow(_index, "key long, id long"), close, sets_of, percent, work)
+    found = bucket_components(signs.select("id", "sig").mapInArrow(_index, "key long, id long"), close, sets_of, percent, work)
     named = classes.join(found.withColumnRenamed("node", "id"), "id", "left")
     named = work.save(named.select("n_shingles", "h1", "h2", F.coalesce("component", "id").alias("component")), "named")
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(named, ["n_shingles", "h1", "h2"], "left")
