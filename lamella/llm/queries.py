@@ -10,6 +10,7 @@ from lamella.llm.mixing import op8_mix_cube
 from lamella.llm.neardup import op2_neardup_multi_index
 from lamella.llm.paragraphs import op1_paragraph_dedup
 from lamella.llm.repair import op4_tokens_repair
+from lamella.llm.toxicity import op5_toxicity_gru
 from lamella.llm.vectors import op10_vectors_flat_graph
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_neardup_multi_index": op2_neardup_multi_index,
     "op3_lm_ppm": op3_lm_ppm,
     "op4_tokens_repair": op4_tokens_repair,
+    "op5_toxicity_gru": op5_toxicity_gru,
     "op6_decontaminate_wand": op6_decontaminate_wand,
     "op7_chat_format": op7_chat_format,
     "op8_mix_cube": op8_mix_cube,
