@@ -23,7 +23,7 @@ def slide_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "level": F.expr("cast((l_linenumber - 1) % 3 AS int)"),
                 "base_mpp": F.expr("element_at(array(0.125D, 0.25D, 0.5D, 1.0D), cast(l_orderkey % 4 + 1 AS int))"),
                 "tile": F.expr("CASE WHEN l_orderkey % 5 = 0 THEN 250L ELSE 256L END"),
-                "image_type": F.expr("CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN 'DERIVED\\\\\\\\PRIMARY\\\\\\\\LABEL' ELSE 'ORIGINAL\\\\\\\\PRIMARY\\\\\\\\VOLUME' END"),
+                "image_type": F.expr("CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN 'DERIVED\\\\PRIMARY\\\\LABEL' ELSE 'ORIGINAL\\\\PRIMARY\\\\VOLUME' END"),
                 "sop_class": F.expr(f"CASE WHEN l_linestatus = 'O' THEN '{WSI_CLASS}' ELSE '1.2.840.10008.5.1.4.1.1.77.1.4' END"),
                 "modality": F.expr("CASE WHEN l_returnflag = 'A' THEN 'CR' ELSE 'SM' END"),
                 "transfer_syntax": F.element_at(F.array(*map(F.lit, _UIDS)), (F.col("l_orderkey") % len(_UIDS) + 1).cast("int")),
