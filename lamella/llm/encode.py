@@ -19,7 +19,7 @@ from lamella.llm.textkit import column_bytes, pieces, span_hashes
 
 LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
 SLOTS = 1 << 20
-POOL = 1 << 23
+POOL = 1 << 22
 
 
 def _class(c: str) -> int:
@@ -31,6 +31,8 @@ _ASCII = np.array([SPACE if b in (9, 10, 11, 12, 13, 32) else _class(chr(b)) if
 #: U+0080 to U+024F, in two bytes of UTF-8.
 _LATIN = np.array([[_class(chr((lead & 0x1F) << 6 | low)) for low in range(64)] for lead in range(0xC2, 0xCA)], np.uint8)
 _STRANGE = re.compile(rb"[\x00-\x08\x0e-\x1f\xca-\xff]|\xc2[\x85\xa0]|\xc9[\x90-\xbf]|'[stmdrvl]")
+#: Bytes that such a place begins with.
+_SUSPECT = np.array([b < 9 or 13 < b < 32 or b in (0x27, 0xC2, 0xC9) or b >= 0xCA for b in range(256)])
 
 
 class Encoder:
@@ -62,8 +64,11 @@ class Encoder:
             yield a, b, *self._piecewise(buf[off[a] : off[b]], off[a : b + 1] - off[a])
 
     def _piecewise(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw, n = buf.tobytes(), len(off) - 1
-        strange = {int(np.searchsorted(off, m.start(), "right")) - 1 for m in _STRANGE.finditer(raw)}
+        if _SUSPECT[buf].any():
+            raw, n = buf.tobytes(), len(off) - 1
+            strange = {int(np.searchsorted(off, m.start(), "right")) - 1 for m in _STRANGE.finditer(raw)}
+        else:
+            strange = set()
         if strange:
             whole = sorted(strange)
             found = dict(zip(whole, self._library([raw[off[d] : off[d + 1]].decode() for d in whole])))

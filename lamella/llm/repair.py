@@ -8,7 +8,7 @@ Spark's commit protocol on whatever store the workspace is, with the number of i
 
 Layout, little-endian: magic `RPR1`; u32 terminals, rules, documents, symbols, ids; i64 doc_id of each document and a
 byte each that is 1 where it is null; u32 number of symbols of each document; u32 number of ids of each document; for
-each rule u32 left, u32 right, u32 expansion length; the symbols, u16 if terminals + rules <= 65536, else u32.
+each rule u32 left, u32 right, u32 expansion length; the symbols, u16 if terminals + rules <= 65536, else u32 (there are rules only in the first case).
 Expansion lengths and document starts let `read_document` and `read_ids` decode a part of a shard alone.
 
 Defined results: a null or empty text is the end id alone; rows with a null doc_id come first; repeated doc_ids are
@@ -29,57 +29,63 @@ from pyspark.taskcontext import TaskContext
 from lamella.llm.encode import Encoder
 from lamella.workspace import Workspace
 
-SHARD_IDS, END_ID = 1 << 20, 0
-ROUNDS, PER_ROUND, LEAST_USES = 3, 4000, 8
+SHARD_IDS, END_ID = 1 << 19, 0
+ROUNDS, PER_ROUND, LEAST_USES = 3, 4096, 8
 MAGIC = b"RPR1"
 _HEAD = struct.Struct("<4s5I")
 
 
 def repair(ids: np.ndarray, terminals: int, end_id: int = END_ID, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and rules (left, right) whose expansion is ids."""
-    s, rules = ids.astype(np.int64), np.zeros((0, 2), np.int64)
+    """Symbols and rules (left, right) whose expansion is ids; without rules for more than 65536 terminals."""
+    if terminals > 65536:
+        return ids.astype(np.uint32), np.zeros((0, 2), np.int64)
+    s, rules = ids.astype(np.uint32), np.zeros((0, 2), np.int64)
     for _ in range(rounds):
-        if len(s) < 2:
+        most = min(per_round, 65536 - terminals - len(rules))  # a pair is 32 bits, a symbol 16
+        if len(s) < 2 or most <= 0:
             break
-        code = s[:-1] << np.int64(32) | s[1:]
+        code = s[:-1] << np.uint32(16) | s[1:]
         free = (s[:-1] != end_id) & (s[1:] != end_id)
-        slot = ((code * np.int64(-7046029254386353131)) >> np.int64(44)) & np.int64((1 << 20) - 1)
+        slot = (code * np.uint32(0x9E3779B1)) >> np.uint32(12)
         in_slot = np.bincount(slot[free], minlength=1 << 20)
-        often = in_slot >= max(LEAST_USES, int(np.partition(in_slot, -2 * per_round)[-2 * per_round]))
+        full = in_slot[in_slot >= LEAST_USES]
+        often = in_slot >= (np.partition(full, -2 * most)[-2 * most] if len(full) > 2 * most else LEAST_USES)
         at = np.flatnonzero(free & often[slot])  # exact counts, for these only
-        pair, uses = np.unique(code[at], return_counts=True)
-        top = np.lexsort((pair, -uses))[:per_round]
+        code = code[at]
+        pair, uses = np.unique(code, return_counts=True)
+        top = np.lexsort((pair, -uses))[:most]
         top = top[uses[top] >= LEAST_USES]
         if not len(top):
             break
-        by_pair = np.argsort(pair[top])
-        chosen = pair[top][by_pair]
-        where = np.minimum(np.searchsorted(chosen, code[at]), len(chosen) - 1)
-        hit = chosen[where] == code[at]
-        at, rank = at[hit], by_pair[where[hit]]
+        top = top[::-1]  # where two share a slot, the more frequent one comes last and stays
+        at_slot, rank_at = np.full(1 << 20, -1, np.int32), np.arange(len(top), dtype=np.int32)[::-1]
+        own = (pair[top] * np.uint32(0x9E3779B1)) >> np.uint32(12)
+        at_slot[own] = np.arange(len(top))
+        where = at_slot[slot[at]]
+        hit = np.flatnonzero(where >= 0)
+        hit = hit[pair[top][where[hit]] == code[hit]]
+        at, rank = at[hit], rank_at[where[hit]]
+        top = top[::-1]
         take = np.zeros(len(at), bool)
         open_ = np.ones(len(at), bool)
-        for _ in range(3):  # an occurrence wins over overlapping ones of rarer pairs; of equal ones the left one wins
-            value = np.where(open_, rank, 1 << 40)
-            left = np.full(len(at), 1 << 40)
-            right = left.copy()
-            touch = at[1:] == at[:-1] + 1
-            left[1:][touch] = value[:-1][touch]
-            right[:-1][touch] = value[1:][touch]
-            win = open_ & (value < left) & (value <= right)
+        touch = at[1:] == at[:-1] + 1
+        for _ in range(2):  # an occurrence wins over overlapping ones of rarer pairs; of equal ones the left one wins
+            value = np.where(open_, rank, np.int32(1 << 30))
+            win = open_.copy()
+            win[1:] &= ~touch | (value[1:] < value[:-1])
+            win[:-1] &= ~touch | (value[:-1] <= value[1:])
             take |= win
             open_ &= ~win
             open_[1:][touch & win[:-1]] = False
             open_[:-1][touch & win[1:]] = False
-        uses = np.bincount(rank[take], minlength=len(top)) > 0
-        made, new = pair[top][uses], (np.cumsum(uses) - 1)[rank[take]]
+        used = np.bincount(rank[take], minlength=len(top)) > 0
+        made, new = pair[top][used].astype(np.int64), (np.cumsum(used) - 1)[rank[take]]
         first = at[take]
-        s = s.copy()
         s[first] = terminals + len(rules) + new
         keep = np.ones(len(s), bool)
         keep[first + 1] = False
         s = s[keep]
-        rules = np.concatenate([rules, np.stack([made >> np.int64(32), made & np.int64(0xFFFFFFFF)], 1)])
+        rules = np.concatenate([rules, np.stack([made >> 16, made & 0xFFFF], 1)])
     return s, rules
 
 
@@ -92,16 +98,15 @@ def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
-    s = symbols.astype(np.int64)
+    s = symbols.astype(np.uint32)
+    left, right = rules[:, 0].astype(np.uint32), rules[:, 1].astype(np.uint32)
     while True:
-        big = s >= terminals
-        if not big.any():
+        big = np.flatnonzero(s >= terminals)
+        if not len(big):
             return s
-        at = np.cumsum(1 + big) - 1 - big
-        out = np.empty(len(s) + int(big.sum()), np.int64)
-        out[at] = np.where(big, rules[np.where(big, s - terminals, 0), 0] if len(rules) else s, s)
-        out[at[big] + 1] = rules[s[big] - terminals, 1]
-        s = out
+        rule = s[big] - np.uint32(terminals)
+        s[big] = left[rule]
+        s = np.insert(s, big + 1, right[rule])
 
 
 def pack(doc_ids: list, ids: np.ndarray, off: np.ndarray, terminals: int, end_id: int = END_ID) -> bytes:
