@@ -139,8 +139,6 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_confirm(percent), "a long, b long")
 
 
-#: Rounds in which each bucket is compared with one member.
-STARS = 2
 #: 64-bit words of a set's bitmap.
 BITMAP = 32
 _BITS = [f"w{k}" for k in range(BITMAP)]
@@ -160,15 +158,15 @@ def _bitmaps(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(size - bits.sum(1, dtype=np.int64)), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(BITMAP))], names=["id", "n", "lost", *_BITS])
 
 
-def bucket_components(members: DataFrame, close, sets_of, percent: int, work: Workspace) -> DataFrame:
+def bucket_components(members: DataFrame, close, sets_of, percent: int, work: Workspace, keys: DataFrame | None = None) -> DataFrame:
     """(node, component) of ids that share a key of members (key, id) and whose sets are similar; see components().
 
-    close(pairs (a, b)) may drop pairs that can't be similar; sets_of(ids (id)) gives saved (id, members).
+    close(pairs (a, b)), if not None, may drop pairs that can't be similar; sets_of(ids (id)) gives saved (id, members).
+    keys, if given, has all keys of an id in columns (id, k0, k1, ...); a pair then meets at its first common key only.
 
     Each bucket is compared with one member at first: the one that meets most others in all its buckets, which is the
-    original where the others are its copies; then with the like member of those that this didn't connect. Then all
-    pairs of a bucket that are still of different components are compared, whatever their number; pairs of one
-    component need no look. Of these, only the pairs go on whose sets can
+    original where the others are its copies. Then all pairs of a bucket that are still of different components are
+    compared, whatever their number; pairs of one component need no look. Of these, only the pairs go on whose sets can
     be similar: an intersection is no larger than what the sets' bitmaps have in common, plus the values that a bitmap
     lost to collisions. That tells apart the many copies of one text that are too far from each other."""
     members = graph.shared_buckets(members, work)
@@ -178,33 +176,34 @@ def bucket_components(members: DataFrame, close, sets_of, percent: int, work: Wo
     work.tidy()
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.greatest("id", "stray").alias("a"), F.least("id", "stray").alias("b")).distinct()
-        return work.save(confirm(work.save(close(work.save(pairs, "pairs")), "close"), sets, percent), "links")
-
-    links, found, open_ = None, None, members
-    for _ in range(STARS):
-        first = work.save(open_.groupBy("key").agg(F.max_by("id", "weight").alias("stray")) if found is None else open_.where("component <> main").groupBy("key").agg(F.max_by("id", "weight").alias("stray"), F.max_by("component", "weight").alias("own")), "first")
-        pairs = open_.join(first, "key").where("id <> stray")
-        new = linked(pairs if found is None else pairs.where("component <> own"))
-        links = new if links is None else work.save(links.unionByName(new), "links")
-        found = graph.components(links, work)
-        now = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        now = work.save(now, "now")
-        sizes = now.groupBy("key", "component").agg(F.count("*").alias("size"))
-        main = sizes.groupBy("key").agg(F.max_by("component", "size").alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        open_ = work.save(now.join(work.save(main.select("key", "main"), "main"), "key"), "open")
-        work.tidy()
-    open_ = open_.drop("weight")
+        pairs = work.save(pairs.select(F.greatest("id", "stray").alias("a"), F.least("id", "stray").alias("b")).distinct(), "pairs")
+        return work.save(confirm(work.save(close(pairs), "close") if close else pairs, sets, percent), "links")
+
+    first = work.save(members.groupBy("key").agg(F.max_by("id", "weight").alias("stray")), "first")
+    links = linked(members.join(first, "key").where("id <> stray"))
+    found = graph.components(links, work)
+    now = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    now = work.save(now, "now")
+    sizes = now.groupBy("key", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("key").agg(F.max_by("component", "size").alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = work.save(now.join(work.save(main.select("key", "main"), "main"), "key"), "open")
+    work.tidy()
     shape = "id long, n long, lost long, " + ", ".join(f"{w} long" for w in _BITS)
     facts = sets.join(open_.select("id").distinct(), "id", "left_semi").mapInArrow(_bitmaps, shape)
+    named = [] if keys is None else [c for c in keys.columns if c != "id"]
+    if named:
+        facts = facts.join(keys, "id")
     open_ = work.save(open_.join(work.save(facts, "facts"), "id"), "open")
-    renamed = {"id": "stray", "component": "own", "n": "stray_n", "lost": "stray_lost"} | {w: f"s_{w}" for w in _BITS}
+    renamed = {"id": "stray", "component": "own", "n": "stray_n", "lost": "stray_lost"} | {c: f"s_{c}" for c in [*_BITS, *named]}
     strays = work.save(open_.where("component <> main").drop("main").withColumnsRenamed(renamed), "strays")
     common = " + ".join(f"bit_count({w} & s_{w})" for w in _BITS)
     alike = f"(least(lost, stray_lost) + {common}) * {100 + percent} >= {percent} * (n + stray_n)"
-    more = linked(open_.join(strays, "key").where("own <> component AND (component = main OR stray < id)").where(alike))
-    if more.limit(1).count():
-        found = graph.components(links.unionByName(more), work)
+    cross = open_.join(strays, "key").where("own <> component AND (component = main OR stray < id)").where(alike)
+    if named:
+        cross = cross.where("key = CASE " + " ".join(f"WHEN {c} = s_{c} THEN {c}" for c in named) + " END")
+    more = linked(cross)
+    if more.limit(1).count():  # the stars found so far stand for the links that made them
+        found = graph.components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), work)
     work.drop(sets, open_, strays)
     return found
 
