@@ -8,6 +8,7 @@ from lamella.llm.langid import op9_lang_ppm
 from lamella.llm.lm import op3_lm_ppm
 from lamella.llm.mixing import op8_mix_cube
 from lamella.llm.neardup import op2_neardup_multi_index
+from lamella.llm.oracles import OP2_SQL, OP10_SQL
 from lamella.llm.paragraphs import op1_paragraph_dedup
 from lamella.llm.repair import op4_tokens_repair
 from lamella.llm.toxicity import op5_toxicity_gru
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_lang_ppm": op9_lang_ppm,
     "op10_vectors_flat_graph": op10_vectors_flat_graph,
 }
-ORACLE_SQL = {"op7_chat_format": OP7_SQL}
+ORACLE_SQL = {"op2_neardup_multi_index": OP2_SQL, "op7_chat_format": OP7_SQL, "op10_vectors_flat_graph": OP10_SQL}
