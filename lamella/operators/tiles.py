@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.workspace import Workspace
+
 CELL = 512
 
 
@@ -30,6 +32,20 @@ def chunks(rows: DataFrame, keys: list[str], order: list[str], size: int) -> Dat
     return rows.withColumn("chunk", F.floor(n / size).cast("long"))
 
 
+def numbered(rows: DataFrame, group: str, order: str, name: str = "n") -> DataFrame:
+    """1, 2, 3, ... within each group in an order without ties, also where a group holds most rows: rows are sorted in
+    ranges, and what each range holds before the next one is summed from one row for each range and group."""
+    place = F.monotonically_increasing_id()
+    sorted_ = rows.repartitionByRange(group, order).sortWithinPartitions(group, order).withColumn("_at", place)
+    sorted_ = sorted_.withColumn("_part", F.shiftright("_at", 33))
+    sorted_ = Workspace(rows.sparkSession, "numbered").save(sorted_)  # sorted once: other ranges would give other numbers
+    per = sorted_.groupBy(group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(group, "_part", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    out = sorted_.join(per, [group, "_part"])
+    return out.withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_at", "_part", "_first", "_before")
+
+
 def shared_first(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Each row's value is either its group's first one (shared: stripped) or its own."""
     first = F.first(value).over(Window.partitionBy(*keys).orderBy(*order))

@@ -66,7 +66,7 @@ def all_formats_union(spark, sf_dir):
     for name, rows, key in buckets:
         one = rows.select(F.lit(name).alias("format"), F.col(key).alias("slide"))
         out = one if out is None else out.unionByName(one)
-    return out.withColumn("n", F.row_number().over(Window.partitionBy("format").orderBy("slide")).cast("long"))
+    return T.numbered(out, "format", "slide")
 
 
 # streams of tiles with resolutions
