@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,8 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/lamella-{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        if self.root.startswith(f"{DEFAULT_DIR}/"):  # a folder of our own, so local mode: nothing reads it after us
+            atexit.register(shutil.rmtree, self.root, ignore_errors=True)
 
     def save(self, df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
         self.count += 1
