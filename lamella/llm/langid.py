@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamella.llm import ppm
 from lamella.llm.textkit import column_bytes, pieces
@@ -65,7 +66,6 @@ def fit(labelled: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE, d
 def predict(docs: DataFrame, langs: list, trie: ppm.Trie | None, keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
     """keep columns, lang_pred, score of docs (keep, text); score is the posterior of the language under equal priors."""
     spark = docs.sparkSession
-    fields = [docs.schema[c] for c in keep]
     if not langs:
         return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     held = spark.sparkContext.broadcast(trie)
@@ -74,19 +74,20 @@ def predict(docs: DataFrame, langs: list, trie: ppm.Trie | None, keep: list[str]
     def run(batches):
         model = _model(held)
         for batch in batches:
-            buf, off = column_bytes(batch.column(batch.num_columns - 2))
-            letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            buf, off = column_bytes(batch.column(1))
+            letters = batch.column(2).to_numpy(zero_copy_only=False)
             best, score = np.full(len(off) - 1, len(langs)), np.zeros(len(off) - 1)
             for a, b in pieces(off):
                 bits = model.score(*ppm.stream(buf[off[a] : off[b]], off[a : b + 1] - off[a])).reshape(b - a, -1)
                 best[a:b] = bits.argmax(1)
                 score[a:b] = 1 / np.exp2(np.maximum(bits - bits.max(1, keepdims=True), -1000)).sum(1)
             best, score = np.where(letters, best, len(langs)), np.where(letters, score, 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(names[best], pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score)], names=["kept", "lang_pred", "score"])
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select(*keep, F.lower("text").alias("text"), letters.alias("letters")).mapInArrow(run, f"{shape}, lang_pred string, score double")
+    rows = docs.select(F.struct(*keep).alias("kept"), F.lower("text").alias("text"), letters.alias("letters"))
+    out = rows.mapInArrow(run, T.StructType([*rows.schema[:1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return out.select("kept.*", "lang_pred", "score")
 
 
 _models: dict = {}
