@@ -25,8 +25,8 @@ from lamella.llm.textkit import LOWER, Words, column_bytes, pieces
 WINDOW, STRIDE = 32, 24
 BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 1 << 15, 8, 8, 8, 8
 GRAMS = (4, 5)
-TOXIC, CLEAN, TRAIN_BYTES = 1500, 3000, 1 << 16
-EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 500, 64, 0.01
+TOXIC, CLEAN, TRAIN_BYTES = 1500, 2500, 1 << 15
+EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 300, 64, 0.01
 _GRAM = np.random.default_rng(5).integers(1, 1 << 31, 8, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -36,9 +36,8 @@ class Inputs:
 
     def __init__(self, buf: np.ndarray, off: np.ndarray):
         words = Words(buf, off)
-        hashes = words.hashes()
-        distinct, at, self.word = np.unique(hashes, return_index=True, return_inverse=True)
-        self.first = words.first
+        distinct, at, self.word = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        self.distinct, self.first = distinct, words.first
         self.bucket = (distinct >> np.uint64(49)).astype(np.int64) % BUCKETS
         size = words.ends[at] - words.starts[at] + 2
         end = np.cumsum(size)
@@ -63,6 +62,25 @@ class Inputs:
         self.gram = (np.concatenate(found)[order] if found else np.zeros(0)).astype(np.int64) % BUCKETS
         self.gram_off = np.searchsorted(of[order], np.arange(len(size) + 1))
 
+    @staticmethod
+    def joined(texts: pa.Array):
+        """The inputs of many texts, made from a few MB at a time."""
+        buf, off = column_bytes(texts)
+        parts = [Inputs(buf[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in pieces(off)]
+        out = Inputs.__new__(Inputs)
+        cat = lambda xs: np.concatenate([np.zeros(0, np.int64), *xs])
+        out.distinct, at, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p.distinct for p in parts)]), return_index=True, return_inverse=True)
+        out.bucket = cat(p.bucket for p in parts)[at]
+        base = np.cumsum([0, *(len(p.gram) for p in parts)])
+        each, start = cat(np.diff(p.gram_off) for p in parts)[at], cat(p.gram_off[:-1] + b for p, b in zip(parts, base))[at]
+        out.gram_off = np.concatenate([[0], np.cumsum(each)]).astype(np.int64)
+        out.gram = cat(p.gram for p in parts)[np.repeat(start - out.gram_off[:-1], each) + np.arange(out.gram_off[-1])]
+        begin = np.cumsum([0, *(len(p.distinct) for p in parts)])
+        out.word = cat(back[p.word + b] for p, b in zip(parts, begin))
+        done = np.cumsum([0, *(len(p.word) for p in parts)])
+        out.first = np.concatenate([*(p.first[:-1] + n for p, n in zip(parts, done)), [done[-1]]]).astype(np.int64)
+        return out
+
     def only(self, words: np.ndarray):
         """The inputs of some distinct words alone."""
         out = Inputs.__new__(Inputs)
@@ -130,12 +148,16 @@ class Network:
             h = out[t] = new
         return out
 
-    def forward(self, vectors: np.ndarray, idx: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    def projected(self, vectors: np.ndarray) -> dict:
+        return {k: vectors @ self.p[f"w{k}"] + self.p[f"c{k}"] for k in "fb"}
+
+    def forward(self, vectors: np.ndarray, idx: np.ndarray, keep: dict | None = None, projected: dict | None = None) -> np.ndarray:
         """Logits of windows (word numbers, -1 for none)."""
+        projected = projected or self.projected(vectors)
         hs = []
         for k in "fb":
             steps = [] if keep is not None else None
-            hs.append(self._read(k, vectors @ self.p[f"w{k}"] + self.p[f"c{k}"], idx, steps))
+            hs.append(self._read(k, projected[k], idx, steps))
             if keep is not None:
                 keep[k] = steps
         h = np.concatenate(hs, axis=2)
@@ -195,15 +217,20 @@ class Network:
         """Logits of texts: of their worst windows."""
         idx, at, _ = x.windows()
         vectors = self.vectors(x)
-        logits = np.concatenate([self.forward(vectors, idx[a : a + 4096]) for a in range(0, len(idx), 4096)])
+        ready = self.projected(vectors)
+        logits = np.concatenate([self.forward(vectors, idx[a : a + 4096], projected=ready) for a in range(0, len(idx), 4096)])
         return np.maximum.reduceat(logits, at[:-1])
 
 
-def _log_odds(found: np.ndarray, texts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """How much likelier toxic texts hold each bucket, shrunk where few do; found, texts: bucket and text of each feature."""
-    pair = np.unique(found * len(toxic) + texts)
-    bucket, hit = pair // len(toxic), toxic[pair % len(toxic)]
-    a, b = (np.bincount(bucket[m], minlength=BUCKETS) for m in (hit, ~hit))
+def _log_odds(features, toxic: np.ndarray) -> np.ndarray:
+    """How much likelier toxic texts hold each bucket, shrunk where few do; features: runs of (bucket, text) arrays."""
+    held = np.zeros((2, BUCKETS))
+    for bucket, text in features:
+        pair = np.unique(text * BUCKETS + bucket)
+        hit = toxic[pair // BUCKETS]
+        for k in (0, 1):
+            held[k] += np.bincount(pair[hit == k] % BUCKETS, minlength=BUCKETS)
+    b, a = held
     odds = np.log((a + 0.5) / (toxic.sum() + 1)) - np.log((b + 0.5) / ((~toxic).sum() + 1))
     return np.clip(odds * (a + b) / (a + b + 5) / 3, -1, 1.5)
 
@@ -211,20 +238,28 @@ def _log_odds(found: np.ndarray, texts: np.ndarray, toxic: np.ndarray) -> np.nda
 def train(texts: list[str], toxic: np.ndarray, epochs: int | None = None, seed: int = 5) -> Network:
     epochs = epochs or max(EPOCHS, -(-LEAST_STEPS * BATCH // len(texts)))
     net, rng = Network(seed), np.random.default_rng(seed)
-    x = Inputs(*column_bytes(pa.array(texts, pa.string())))
-    of_word = np.repeat(np.arange(len(texts)), np.diff(x.first))
-    net.p["words"][:, 0] = _log_odds(x.bucket[x.word], of_word, toxic)
-    each = np.diff(x.gram_off)
-    pairs = np.unique(of_word * len(x.bucket) + x.word)
-    text, word = pairs // len(x.bucket), pairs % len(x.bucket)
-    net.p["chars"][:, 0] = _log_odds(x.only(word).gram, np.repeat(text, each[word]), toxic)
+    x = Inputs.joined(pa.array(texts, pa.string()))
+
+    def features(chars: bool):
+        for a in range(0, len(texts), 100):
+            b = min(a + 100, len(texts))
+            word, text = x.word[x.first[a] : x.first[b]], np.repeat(np.arange(a, b), np.diff(x.first[a : b + 1]))
+            if chars:
+                word, text = np.divmod(np.unique(word * len(texts) + text), len(texts))
+                part = x.only(word)
+                yield part.gram, np.repeat(text, np.diff(part.gram_off))
+            else:
+                yield x.bucket[word], text
+
+    net.p["words"][:, 0], net.p["chars"][:, 0] = _log_odds(features(False), toxic), _log_odds(features(True), toxic)
     idx, at, _ = x.windows()
     m, v = ({k: np.zeros_like(p) for k, p in net.p.items()} for _ in range(2))
     step = 0
     for epoch in range(epochs):  # the worst window of each text, as the network sees it now, stands for it
         vectors = net.vectors(x)
         if epoch:
-            value = np.concatenate([net.forward(vectors, idx[a : a + 4096]) for a in range(0, len(idx), 4096)])
+            ready = net.projected(vectors)
+            value = np.concatenate([net.forward(vectors, idx[a : a + 4096], projected=ready) for a in range(0, len(idx), 4096)])
         else:
             value = (vectors[:, 0] + vectors[:, WORD_DIM])[idx].max(1)
         worst = np.array([a + int(value[a:b].argmax()) for a, b in zip(at[:-1], at[1:])])
@@ -247,16 +282,18 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int | None = None, seed:
     return net
 
 
-def fit(labelled: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Network | float:
-    """A network from rows (text, toxic), or the share of toxic labels if one kind is missing."""
-    rows = labelled.where("text IS NOT NULL AND toxic IN (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.where(F.octet_length("text") <= TRAIN_BYTES)
-    counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Network | float:
+    """A network from docs (doc_id, text) and labels (doc_id, toxic), or the share of toxic labels if one kind is missing.
+
+    The labels are sampled first, by a hash of their doc_id, so that a bounded number of ids is broadcast to the texts."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return float(next(iter(counts), 0.5))
-    unit = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    unit = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("toxic") == 1, min(1.0, toxic / counts[1])).otherwise(min(1.0, clean / counts[0]))
-    found = rows.where(unit < share).toArrow().to_pylist()
+    sample = F.broadcast(known.where(unit < share).dropDuplicates())
+    found = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES).join(sample, "doc_id").select("text", "toxic").toArrow().to_pylist()
     found.sort(key=lambda r: (r["toxic"], r["text"]))
     if len({r["toxic"] for r in found}) < 2:
         return counts[1] / (counts[0] + counts[1])
@@ -283,7 +320,7 @@ def score(docs: DataFrame, model: Network | float) -> DataFrame:
 
 def op5_toxicity_gru(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where("toxic IS NOT NULL")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     out = F.coalesce(held_out(5, 0), F.lit(False))
-    model = fit(docs.join(labels.where(~out), "doc_id"))
+    model = fit(docs, labels.where(~out))
     return score(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -134,13 +134,16 @@ def test_toxicity_learns(spark):
         return " ".join(ws)
 
     rows = [(text(i % 4 == 0), int(i % 4 == 0)) for i in range(500)]
-    model = X.fit(spark.createDataFrame([*rows, (None, 1), ("x", None)], "text string, toxic int"))
+    rows += [(None, 1), ("x", None)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([*((i, y) for i, (_, y) in enumerate(rows)), (None, 1), (9999, 1), (0, rows[0][1])], "doc_id long, toxic int")
+    model = X.fit(docs, labels)
     test = [(i, text(i % 2 == 0)) for i in range(200)] + [(1000, None), (1001, ""), (1002, "w1 " * 30000 + "idiot vequxxx idiot")]
     got = {r.doc_id: r.score for r in X.score(spark.createDataFrame(test, "doc_id long, text string"), model).collect()}
     assert np.mean([(got[i] >= 0.5) == (i % 2 == 0) for i in range(200)]) > 0.95
     assert got[1000] == got[1001] < 0.5 and got[1002] > 0.5 and all(0 <= s <= 1 for s in got.values())
-    assert X.fit(spark.createDataFrame([("a", 1)], "text string, toxic int")) == 1.0
-    assert X.fit(spark.createDataFrame([], "text string, toxic int")) == 0.5
+    assert X.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")) == 1.0
+    assert X.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")) == 0.5
 
 
 def test_pipeline(spark):
