@@ -75,3 +75,31 @@ def svs_plan(plan: DataFrame) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for role, v in ROLES.items() for x in (role, v[1])])
     order = Window.partitionBy("series").orderBy(table[F.col("role")], "level_no")
     return levels.unionByName(extra).withColumns({"ifd": (F.row_number().over(order) - 1).cast("long"), "subfile_type": kind[F.col("role")]})
+
+
+TIFF_FILES = "slide long, content binary"
+
+
+def tiff_files(tiles: DataFrame) -> DataFrame:
+    """A BigTIFF for each slide of rows (slide, dir, sub, width, height, tile, compression, photometric, samples, mpp,
+    description, tile_index, data). A file is one value here, so this is for slides of up to some hundred MB; tables of
+    directories and tiles have no such limit. A tile that lacks stays absent in the file."""
+    import pandas as pd
+
+    from lamella.functions.tiffout import Directory, bigtiff
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for (number, sub), own in rows.groupby(["dir", "sub"], sort=True):
+            head = own.iloc[0]
+            count = -(-int(head["width"]) // int(head["tile"])) * -(-int(head["height"]) // int(head["tile"]))
+            data = [None] * count
+            for k, blob in zip(own["tile_index"], own["data"]):
+                if 0 <= k < count:
+                    data[int(k)] = bytes(blob) if blob is not None else None
+            ints = {c: int(head[c]) for c in ("width", "height", "tile", "compression", "photometric", "samples")}
+            text = head["description"] if isinstance(head["description"], str) else None
+            found.append(Directory(**ints, tiles=data, subfile=int(number > 0), mpp=float(head["mpp"] or 0), sub=bool(sub), description=text))
+        return pd.DataFrame({"slide": [rows["slide"].iat[0]], "content": [bigtiff(found)]})
+
+    return tiles.groupBy("slide").applyInPandas(run, TIFF_FILES)

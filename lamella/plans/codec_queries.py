@@ -12,6 +12,9 @@ from pyspark.sql.types import BinaryType
 
 from lamella.functions import binfmt as B
 from lamella.functions import jpeg as J
+from lamella.operators import kernels as K
+from lamella.operators import tiles as T
+from lamella.operators.sinks import tiff_files
 from lamella.plans import fixtures as X
 from lamella.plans.registry import query, table
 from lamella.sources import slides
@@ -98,6 +101,22 @@ def ets_chunks(spark, sf_dir):
     return slides.parsed(_files(spark, sf_dir, _tiles, ".ets"), slides.stream_rows, slides.CHUNKS)
 
 
+@query("sink_tiff_file")
+def sink_tiff_file(spark, sf_dir):
+    """Each slide's 16-pixel tiles and their halved level as a BigTIFF, parsed again."""
+    return slides.parsed(sink_files(spark, sf_dir).selectExpr("cast(slide AS string) AS path", "content"), slides.tiff_rows, slides.LEVELS)
+
+
+def sink_files(spark, sf_dir: str) -> DataFrame:
+    base = T.quads(X.gray_tiles(spark, sf_dir), ["slide"], "pixels").select("slide", F.col("oc").alias("cx"), F.col("orow").alias("cy"), K.quad_canvas(F.col("quad"), 8).alias("pixels"))
+    half = T.quads(base, ["slide"], "pixels").select("slide", F.col("oc").alias("cx"), F.col("orow").alias("cy"), K.box_halved(K.quad_canvas(F.col("quad"), 16), 32).alias("pixels"))
+    levels = base.withColumns({"dir": F.lit(0), "side": F.lit(64)}).unionByName(half.withColumns({"dir": F.lit(1), "side": F.lit(32)}))
+    raw = F.unhex(F.array_join(F.transform("pixels", lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    fixed = {"tile": F.lit(16), "compression": F.lit(1), "photometric": F.lit(1), "samples": F.lit(1), "mpp": F.pow(F.lit(2.0), F.col("dir")) * 0.5, "description": F.when(F.col("dir") == 0, "raw"), "sub": F.col("dir") > 0}
+    rows = levels.withColumns(fixed | {"width": F.col("side"), "height": F.col("side"), "tile_index": F.col("cy") * F.expr("side div 16") + F.col("cx"), "data": raw})
+    return tiff_files(rows.drop("pixels", "cx", "cy", "side"))
+
+
 @query("decode_image")
 def decode_image(spark, sf_dir):
     """Images written as single files, found and decoded by Spark's image source."""

@@ -95,3 +95,32 @@ def test_ingest(spark, tmp_path):
     assert ingest_new(spark, source, "id long", out, done).count() == 5
     spark.range(5, 8).write.mode("append").parquet(source)
     assert sorted(r.id for r in ingest_new(spark, source, "id long", out, done).collect()) == list(range(8))
+
+
+def test_bigtiff_round_trip():
+    from lamella.functions.tiffout import TILE_COUNTS, TILE_OFFSETS, Directory, bigtiff
+
+    tiles = [bytes([k]) * 256 for k in range(4)]
+    base = Directory(32, 32, 16, [tiles[0], None, tiles[2], tiles[3]], mpp=0.25, description="x" * 20, profile=b"icc")
+    data = bigtiff([base, Directory(16, 16, 16, [tiles[1]], sub=True, subfile=1), Directory(16, 16, 16, [tiles[3]], subfile=1)])
+    found = B.tiff_directories(data)
+    assert [(d["chain"], d["tags"][B.WIDTH][0]) for d in found] == [("main", 32), ("main", 16), ("sub", 16)]
+    tags = found[0]["tags"]
+    assert tags[B.DESCRIPTION] == "x" * 20 and tags[B.PROFILE] == b"icc" and tags[B.X_RES] == [40000.0] and tags[B.UNIT] == [3]
+    got = [data[a : a + n] for a, n in zip(tags[TILE_OFFSETS], tags[TILE_COUNTS])]
+    assert got == [tiles[0], b"", tiles[2], tiles[3]]
+
+
+def test_tiff_sink(spark):
+    from lamella.functions.tiffout import TILE_COUNTS, TILE_OFFSETS
+    from lamella.plans.codec_queries import sink_files
+    from lamella.plans.fixtures import gray_tiles
+
+    sf = "/root/testdata/sf0.001"
+    content = sink_files(spark, sf).where("slide = 0").first().content
+    main, sub = B.tiff_directories(bytes(content))
+    assert (main["tags"][B.WIDTH], sub["chain"], sub["tags"][B.WIDTH]) == ([64], "sub", [32])
+    first = {(r.cx, r.cy): r.pixels for r in gray_tiles(spark, sf).where("slide = 0 AND cx < 2 AND cy < 2").collect()}
+    at, n = main["tags"][TILE_OFFSETS][0], main["tags"][TILE_COUNTS][0]
+    tile = list(content[at : at + n])
+    assert tile == [first[x // 8, y // 8][y % 8 * 8 + x % 8] for y in range(16) for x in range(16)]
