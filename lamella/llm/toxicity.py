@@ -255,12 +255,13 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int | None = None, seed:
     idx, at, _ = x.windows()
     m, v = ({k: np.zeros_like(p) for k, p in net.p.items()} for _ in range(2))
     step = 0
-    for epoch in range(epochs):  # the worst window of each text, as the network sees it now, stands for it
-        vectors = net.vectors(x)
-        if epoch:
+    for epoch in range(epochs):  # the worst window of each text, as the network sees it every now and then, stands for it
+        if epoch % (epochs // EPOCHS or 1) == 0:
+            vectors = net.vectors(x)
+        if epoch and epoch % (epochs // EPOCHS or 1) == 0:
             ready = net.projected(vectors)
             value = np.concatenate([net.forward(vectors, idx[a : a + 4096], projected=ready) for a in range(0, len(idx), 4096)])
-        else:
+        elif not epoch:
             value = (vectors[:, 0] + vectors[:, WORD_DIM])[idx].max(1)
         worst = np.array([a + int(value[a:b].argmax()) for a, b in zip(at[:-1], at[1:])])
         order = rng.permutation(len(texts))
