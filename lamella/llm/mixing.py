@@ -3,9 +3,9 @@
 Each source has an inclusion rate, target words / words it has. Its whole part is a number of copies that every
 document gets; its fraction is the inclusion probability of one more copy. The cube method's flight phase moves
 these probabilities along the null space of the balancing constraints (words and documents), three documents at a
-time, until each is 0 or 1. It runs in blocks of a source, which are independent tasks of bounded size; at most two
-documents of a block stay undecided and form the blocks of the next round, until a source has one block, whose last
-documents the landing phase settles by giving up the document count first and the word count last.
+time, until each is 0 or 1. It runs in blocks of a source, which are independent tasks of bounded size; the few
+documents of a block that stay undecided (some for each doubling of the size) form the blocks of the next round, until
+a source has one block, whose last documents the landing phase settles so that the words stay near their target.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; repeated rows are
 decided one by one; a source without words has target 0 and takes nothing; an empty table gives no rows; further
@@ -27,6 +27,8 @@ from lamella.workspace import Workspace
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents in a block of the flight phase.
 BLOCK = 1024
+#: How many times larger than the next document one may be to go on in the flight.
+LATE = 1.5
 
 
 def word_count(text):
@@ -51,8 +53,12 @@ def targets(sizes: dict, weights: dict, share: float = 1.5, most: float = 2.0) -
 
 
 def flight(sizes: list, probs: list, rng: random.Random, land: bool) -> list:
-    """Balanced rounding of probs; without land, at most two of them stay between 0 and 1."""
-    out, held = list(probs), []
+    """Balanced rounding of probs, for sizes from large to small; without land some stay between 0 and 1.
+
+    Three documents at a time move along the one direction that changes neither words nor documents, until one of them is
+    settled. One that is much larger than those that come next would hardly move with them; it waits for the landing,
+    which settles what is left from large to small, each to the side that leaves the smaller error in words."""
+    out, held, late = list(probs), [], []
 
     def settle(units: list, way: list) -> None:
         up = min(((1 - out[i]) / w if w > 0 else out[i] / -w) for i, w in zip(units, way) if w)
@@ -65,19 +71,19 @@ def flight(sizes: list, probs: list, rng: random.Random, land: bool) -> list:
 
     for k in range(len(out)):
         if 0 < out[k] < 1:
-            held.append(k)
+            late += [i for i in held if sizes[i] > LATE * sizes[k]]
+            held = [i for i in held if sizes[i] <= LATE * sizes[k]] + [k]
         while len(held) == 3:
             a, b, c = (sizes[i] for i in held)
             way = [b - c, c - a, a - b] if a != b or b != c else [1, -1, 0]  # orthogonal to the sizes and to (1, 1, 1)
             settle(held, way)
             held = [i for i in held if 0 < out[i] < 1]
     if land:
-        while len(held) == 2:
-            a, b = (sizes[i] for i in held)
-            settle(held, [b, -a] if a or b else [1, -1])
-            held = [i for i in held if 0 < out[i] < 1]
-        for i in held:
-            out[i] = float(rng.random() < out[i])
+        error = 0.0
+        for i in sorted([*late, *held], key=lambda i: -sizes[i]):
+            take, leave = error + (1 - out[i]) * sizes[i], error - out[i] * sizes[i]
+            up = rng.random() < out[i] if abs(take) == abs(leave) else abs(take) < abs(leave)
+            out[i], error = (1.0, take) if up else (0.0, leave)
     return out
 
 
@@ -120,8 +126,9 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, s
         done.append(rows.where("p = 0 OR p = 1"))
         if land:
             break
-        rows = rows.where("p > 0 AND p < 1")
+        rows, before = rows.where("p > 0 AND p < 1"), left
         left = rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+        block = max(block, 4 * left * block // max(before, 1))  # blocks in which hardly any settles would not end
         rows = rows.withColumn("block", F.pmod("order", F.lit(max(1, -(-left // block)))))
     out = done[0]
     for more in done[1:]:
