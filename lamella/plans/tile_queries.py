@@ -293,9 +293,10 @@ def icc_matrix_bake(spark, sf_dir):
 v AS (SELECT slide, oc, orow, i, list_sum([coalesce((CASE (k // 16 // 8) * 2 + (k % 16) // 8 WHEN 0 THEN q0 WHEN 1 THEN q1 WHEN 2 THEN q2 ELSE q3 END)[(k // 16) % 8 * 8 + (k % 16) % 8 + 1], 0) FOR k IN spots]) AS s FROM a)
 SELECT slide, oc, orow, md5(string_agg(((s + 2) // 4)::INT::VARCHAR, ',' ORDER BY i)) AS tile_md5 FROM v GROUP BY ALL""")
 def resample_tiles(spark, sf_dir):
-    """Each 2 x 2 block of tiles, on one canvas, halved."""
-    tile = K.box_halved(K.quad_canvas(F.col("quad"), 8), 16)
-    return _quads(spark, sf_dir).select("slide", "oc", "orow", F.md5(F.array_join(F.transform(tile, lambda v: v.cast("string")), ",").cast("binary")).alias("tile_md5"))
+    """Each 2 x 2 block of tiles, on one canvas, halved: the tiles are halved first, so a quarter of the bytes is shuffled."""
+    halves = X.gray_tiles(spark, sf_dir).withColumn("pixels", K.box_halved(F.col("pixels"), 8))
+    tile = K.quad_canvas(F.col("quad"), 4)
+    return T.quads(halves, ["slide"], "pixels").select("slide", "oc", "orow", F.md5(F.array_join(F.transform(tile, lambda v: v.cast("string")), ",").cast("binary")).alias("tile_md5"))
 
 
 # ledger
