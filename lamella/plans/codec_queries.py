@@ -119,16 +119,13 @@ def sink_files(spark, sf_dir: str) -> DataFrame:
 
 @query("decode_image")
 def decode_image(spark, sf_dir):
-    """Images written as single files, found and decoded by Spark's image source."""
+    """Every tile as an image file, written by the executors, found and decoded by Spark's image source."""
     root = f"{shared_dir(spark)}/lamella-images-{uuid.uuid4().hex[:12]}"
-    rows = X.gray_tiles(spark, sf_dir).where("slide < 2").select("cx", "cy", "slide", "pixels").orderBy("slide", "cy", "cx").limit(16).collect()
-    jvm = spark._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in rows:  # 16 files of a few hundred bytes: a fixture
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/{r.slide}-{r.cy}-{r.cx}.bmp"), True)
-        out.write(bytearray(_bitmap(r.pixels)))
-        out.close()
-    return spark.read.format("image").option("dropInvalid", "true").load(root).select(F.regexp_extract("image.origin", r"([^/]*)$", 1).alias("file"), "image.width", "image.height", "image.nChannels", F.md5("image.data").alias("data_md5"))
+    build = F.pandas_udf(lambda tiles: pd.Series([_bitmap(p) for p in tiles], dtype=object), BinaryType())
+    file = F.concat_ws("-", "slide", "cy", "cx")
+    # the text writer puts the bytes down as they are; the line feed that it adds is behind the bitmap's own size
+    X.gray_tiles(spark, sf_dir).select(F.concat(file, F.lit(".bmp")).alias("file"), build("pixels").cast("string").alias("value")).write.partitionBy("file").text(root)
+    return spark.read.format("image").option("dropInvalid", "true").load(root).select("file", "image.width", "image.height", "image.nChannels", F.md5("image.data").alias("data_md5"))
 
 
 def _bitmap(pixels: list[int], side: int = 8) -> bytes:

@@ -1,10 +1,12 @@
 """Byte formats: vectors, round trips, files through the data sources."""
 
+import hashlib
 import struct
 
 from lamella.functions import binfmt as B
 from lamella.functions import jpeg as J
-from lamella.plans.codec_queries import _tiles, _tree
+from lamella.plans import fixtures as X
+from lamella.plans.codec_queries import _tiles, _tree, decode_image
 from lamella.sources import slides
 
 STREAM = bytes.fromhex("FFD8FFE000040000FFDB0004AABBFFC00005010203FFC40003CCFFDA00030199FFD9")
@@ -124,3 +126,12 @@ def test_tiff_sink(spark):
     at, n = main["tags"][TILE_OFFSETS][0], main["tags"][TILE_COUNTS][0]
     tile = list(content[at : at + n])
     assert tile == [first[x // 8, y // 8][y % 8 * 8 + x % 8] for y in range(16) for x in range(16)]
+
+
+def test_every_tile_is_decoded(spark):
+    sf = "/root/testdata/sf0.001"
+    tiles = X.gray_tiles(spark, sf).collect()
+    want = {(f"{t.slide}-{t.cy}-{t.cx}.bmp", 8, 8, 3, hashlib.md5(bytes(v for y in range(8) for p in t.pixels[y * 8 : y * 8 + 8] for v in (p, p, p))).hexdigest()) for t in tiles}
+    assert len(tiles) > 128  # more than the first two slides
+    got = decode_image(spark, sf).collect()
+    assert len(got) == len(tiles) and {tuple(r) for r in got} == want
