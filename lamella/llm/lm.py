@@ -1,9 +1,11 @@
 """Operator 3, language-model scoring by prediction by partial matching.
 
-The model (ppm.py) is a byte-context trie with counts from all training documents, frozen for scoring. It reads the
+The model (ppm.py) has the counts of all byte contexts of all training documents, frozen for scoring. It reads the
 same event as the word baseline: the lower-cased (A-Z) words of the text, one space between two, and the end. Words
 are counted by 64-bit hashes. Words that hold a set share of all training tokens (at most 1 / share of them) are
-broadcast; the counts of all others meet their documents in a join, in which no key can be hot.
+broadcast; the counts of all others meet their documents in a join, in which no key can be hot. It is the same with
+contexts: those with a share of MIN_SHARE of all bytes are broadcast as a trie, the others are a table, and what follows
+them in the documents is settled by joins. The shares divide the work only; no count is left out.
 
 Defined results: a null text is empty, and has one token, the end; repeated rows are counted and scored one by one;
 without training documents all counts are 0 and scores come from the uniform distribution; an empty table gives no
@@ -64,7 +66,20 @@ def _count(order: int):
     return run
 
 
-SCORED = "row long, doc_id long, score double, n_tokens long, known long, logs double, rare array<struct<key long, times int>>"
+TIMES = "array<struct<key long, times int>>"
+SCORED = f"row long, doc_id long, score double, n_tokens long, known long, logs double, rare {TIMES}, deep {TIMES}"
+
+
+def _by_doc(keys: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
+    """Each document's distinct keys and how often it has them."""
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(keys))).astype(np.int32)
+    offsets = np.searchsorted(owner[first], np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(times)], names=["key", "times"]))
 
 
 def _score(trie, heavy):
@@ -75,43 +90,91 @@ def _score(trie, heavy):
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         for batch in batches:
             for a, b, words in _each(batch, 1):
-                bits = model.score(*ppm.stream(*canonical(words)))
+                n = b - a
+                symbols, start = ppm.stream(*canonical(words))
+                bits = model.sure(symbols)
+                open_ = np.flatnonzero(np.isnan(bits))
+                bits[open_] = 0
+                deep = _by_doc(ppm.grams(symbols, start, model.order)[open_], np.searchsorted(start, open_, "right") - 1, n)
                 hashes, owner = words.hashes(), words.doc()
                 at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
                 hit = (keys[at] == hashes) if len(keys) else np.zeros(len(hashes), bool)
-                n = b - a
-                rare_key, rare_doc = hashes[~hit], owner[~hit]
-                order = np.lexsort((rare_key, rare_doc))
-                rare_key, rare_doc = rare_key[order], rare_doc[order]
-                new = np.ones(len(rare_key), bool)
-                new[1:] = (rare_key[1:] != rare_key[:-1]) | (rare_doc[1:] != rare_doc[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(rare_key))).astype(np.int32)
-                offsets = np.searchsorted(rare_doc[first], np.arange(n + 1)).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(rare_key[first].view(np.int64)), pa.array(times)], names=["key", "times"]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(row, row + n)),
                         batch.column(0).slice(a, n),
-                        pa.array(bits * np.log10(2)),
+                        pa.array((np.add.reduceat(bits, start[:-1], dtype=np.float64) if n else np.zeros(0)) * np.log10(2)),
                         pa.array(np.diff(words.first) + 1),
                         pa.array(np.bincount(owner[hit], minlength=n).astype(np.int64)),
                         pa.array(np.bincount(owner[hit], logs[at[hit]], n) if len(logs) else np.zeros(n)),
-                        rare,
+                        _by_doc(hashes[~hit], owner[~hit], n),
+                        deep,
                     ],
-                    names=["row", "doc_id", "score", "n_tokens", "known", "logs", "rare"],
+                    names=["row", "doc_id", "score", "n_tokens", "known", "logs", "rare", "deep"],
                 )
                 row += n
 
     return run
 
 
+def _levels(trie):
+    """(own, at): for each context asked for, itself and its suffixes that the trie lacks, the depth on top of each."""
+
+    def run(batches):
+        keys = trie.value.keys
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            for d, mine in enumerate(keys):
+                mask = (1 << 8 * d) - 1
+                lack = own[(own >> 56 >= d) & ~np.isin(own & mask, mine)]
+                yield pa.RecordBatch.from_arrays([pa.array(lack), pa.array((lack & mask) | (d << 56))], names=["own", "at"])
+
+    return run
+
+
+def _behind(trie):
+    """(key, bits) of rows (own, syms, chain): symbols asked for behind a context, and its rows of the table of contexts."""
+
+    def run(batches):
+        model = _model(trie)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, syms, chain = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            many = np.diff(syms.offsets.to_numpy())
+            own, sym = np.repeat(own, many), syms.flatten().to_numpy()
+            links = chain.flatten()
+            at, first = np.unique(links.field("at").to_numpy(), return_index=True)
+            lists = links.field("symbols").take(pa.array(first))
+            entry, at = lists.flatten(), np.repeat(at, np.diff(lists.offsets.to_numpy()))
+            body = (1 << 56) - 1
+            rare = at >> 56, at & body, entry.field("sym").to_numpy(), entry.field("n").to_numpy().astype(np.float64)
+            bits = model.behind(own >> 56, own & body, sym, rare)
+            key = (((own >> 56) + 1) << 56) | ((own & body) << 8) | sym
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(bits.astype(np.float64))], names=["key", "bits"])
+
+    return run
+
+
+def _deep_bits(deep: DataFrame, rare: DataFrame, trie, work: Workspace) -> DataFrame:
+    """(row, deep_bits): log2 probability of deep (row, key, times), the grams whose longest context isn't in the trie."""
+    own = (F.shiftright("key", 56) - 1).bitwiseAND(F.lit(255))
+    context = F.shiftleft(own, 56).bitwiseOR(F.expr("shiftright(key & 72057594037927935L, 8)"))
+    asked = deep.groupBy(context.alias("own")).agg(F.collect_set(F.col("key").bitwiseAND(F.lit(255))).alias("syms"))
+    asked = work.save(asked, "asked")
+    chain = asked.select("own").mapInArrow(_levels(trie), "own long, at long").join(rare, "at").groupBy("own").agg(F.collect_list(F.struct("at", "symbols")).alias("chain"))
+    none = F.expr("CAST(array() AS array<struct<at: bigint, symbols: array<struct<sym: int, n: bigint>>>>)")
+    bits = asked.join(chain, "own", "left").select("own", "syms", F.coalesce("chain", none).alias("chain")).mapInArrow(_behind(trie), "key long, bits double")
+    return deep.join(work.save(bits, "bits"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("bits")).alias("deep_bits"))
+
+
 def lm_score(train: DataFrame, docs: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE, heavy_share: float = HEAVY, work: Workspace | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text), learned from train (text)."""
     spark = docs.sparkSession
     work = work or Workspace(spark, "lm")
     counted = work.save(train.select("text").mapInArrow(_count(order), ppm.COUNTED).groupBy("grp", "key").agg(F.sum("n").alias("n")), "counts")
-    trie = ppm.Trie.build(ppm.contexts(counted.where(F.col("grp") == BYTES), order, min_share), order, 1)
+    every = work.save(ppm.all_contexts(counted.where(F.col("grp") == BYTES), min_share), "contexts")
+    trie = spark.sparkContext.broadcast(ppm.Trie.build(every.where("heavy").drop("heavy").toArrow(), order, 1))
     words = counted.where((F.col("grp") == WORDS) & (F.col("n") > 0)).select("key", "n")
     tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = words.where(F.col("n") >= F.lit(max(1.0, tokens * heavy_share)))
@@ -120,24 +183,26 @@ def lm_score(train: DataFrame, docs: DataFrame, order: int = ORDER, min_share: f
     by_key = np.argsort(keys)
     ends = words.where("key = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     heavy = spark.sparkContext.broadcast((keys[by_key], counts[by_key]))
-    scored = work.save(docs.select("doc_id", "text").mapInArrow(_score(spark.sparkContext.broadcast(trie), heavy), SCORED), "scored")
+    scored = work.save(docs.select("doc_id", "text").mapInArrow(_score(trie, heavy), SCORED), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.key", "r.times")
     tail = (
         rare.join(words, "key")  # a rare word without a count stays out here and is counted below
         .groupBy("row")
         .agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - F.log10(F.lit(0.5)))).alias("tail_logs"))
     )
+    others = every.where("NOT heavy").select(F.shiftleft(F.col("depth").cast("long"), 56).bitwiseOR(F.col("ctx")).alias("at"), "symbols")
+    deep = _deep_bits(scored.select("row", F.explode("deep").alias("d")).select("row", "d.key", "d.times"), others, trie, work)
     bottom = float(np.log10(tokens + 0.5 * (kinds + 1)))
     inner = F.col("n_tokens") - 1
     unknown = (inner - F.col("known")) * F.log10(F.lit(0.5))  # as if no rare word had a count; the tail mends that
     base = F.col("logs") + unknown + F.coalesce("tail_logs", F.lit(0.0)) + F.lit(float(np.log10(ends + 0.5))) - F.col("n_tokens") * bottom
-    return scored.drop("rare").join(tail, "row", "left").select(
+    return scored.drop("rare", "deep").join(tail, "row", "left").join(deep, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("known") + F.coalesce("tail_known", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("deep_bits", F.lit(0.0)) * float(np.log10(2))).alias("score"),
     )
 
 

@@ -2,8 +2,9 @@
 
 Counting: every byte of a document, and one end mark, is counted once behind its longest context of up to `order`
 bytes (a context never reaches back over the document's start). Shorter contexts' counts are sums of these. A context
-belongs to the trie if it holds at least a share `min_share` of all counted bytes, so there are at most
-order / min_share + 1 contexts whatever the corpus holds; that share, not a cap, bounds what is sent to executors.
+belongs to the trie that is sent to executors if it holds at least a share `min_share` of all counted bytes (at most
+order / min_share + 1 contexts). Operator 3 keeps the others as a table: Automaton.sure() tells which symbols the trie
+settles, and Automaton.behind() settles the rest from the trie and the table's rows of their contexts.
 
 Probabilities (escape method C): behind a context seen T times with D distinct symbols, a seen symbol gets
 count / (T + D) and the escape D / (T + D); after an escape the next shorter context leaves out ("excludes") the
@@ -86,8 +87,8 @@ class Counter:
 COUNTED = "grp int, key long, n long"
 
 
-def contexts(counted: DataFrame, order: int, min_share: float) -> pa.Table:
-    """The trie's rows (depth, ctx, grp, symbols) for counted (grp, key, n) rows of grams(); few, for the driver."""
+def all_contexts(counted: DataFrame, min_share: float) -> DataFrame:
+    """Every context (depth, ctx, grp, symbols, heavy) of counted (grp, key, n) rows of grams(); heavy if its share is large enough."""
     spark = counted.sparkSession
     least = [(r.grp, float(r.n) * min_share) for r in counted.groupBy("grp").agg(F.sum("n").alias("n")).collect()]
     heavy = F.broadcast(spark.createDataFrame(least, "grp int, least double"))
@@ -100,7 +101,20 @@ def contexts(counted: DataFrame, order: int, min_share: float) -> pa.Table:
         .agg(F.sum("n").alias("n"))
     )
     per_ctx = every.groupBy("grp", "size", "ctx").agg(F.sum("n").alias("total"), F.collect_list(F.struct("sym", "n")).alias("symbols"))
-    return per_ctx.join(heavy, "grp").where("total >= least").select((F.col("size") - 1).alias("depth"), "ctx", "grp", "symbols").toArrow()
+    return per_ctx.join(heavy, "grp").select((F.col("size") - 1).alias("depth"), "ctx", "grp", "symbols", (F.col("total") >= F.col("least")).alias("heavy"))
+
+
+def contexts(counted: DataFrame, order: int, min_share: float) -> pa.Table:
+    """The trie's rows (depth, ctx, grp, symbols) for counted (grp, key, n) rows of grams(); few, for the driver."""
+    return all_contexts(counted, min_share).where("heavy").drop("heavy").toArrow()
+
+
+def suffixes(keys: list, base: np.ndarray) -> np.ndarray:
+    """For each state the state of its context without the first byte."""
+    out = np.zeros(int(base[-1]), np.int64)
+    for d in range(1, len(keys)):
+        out[base[d] : base[d + 1]] = base[d - 1] + np.searchsorted(keys[d - 1], keys[d] & ((1 << 8 * (d - 1)) - 1))
+    return out
 
 
 @dataclass
@@ -140,16 +154,14 @@ class Automaton:
     """states x symbols tables of a trie: the next state, and log2 probabilities for each group."""
 
     def __init__(self, trie: Trie):
-        self.order = trie.order
+        self.order, self.trie = trie.order, trie
         seen = np.unique(np.concatenate([trie.sym, np.array([MARK], np.uint8)]))
         self.width = width = len(seen) + 1  # the last column: bytes never seen
         self.column = np.full(256, width - 1, np.int32)
         self.column[seen] = np.arange(len(seen))
         base = np.cumsum([0, *map(len, trie.keys)])
         states = int(base[-1])
-        suffix = np.zeros(states, np.int64)
-        for d in range(1, trie.order + 1):
-            suffix[base[d] : base[d + 1]] = base[d - 1] + np.searchsorted(trie.keys[d - 1], trie.keys[d] & ((1 << 8 * (d - 1)) - 1))
+        suffix = suffixes(trie.keys, base)
         self.next = self._transitions(trie, seen, base, suffix)
         self.logp = np.empty((states, width, trie.n_groups), np.float32)
         for g in range(trie.n_groups):
@@ -160,6 +172,7 @@ class Automaton:
         if trie.n_groups == 1:
             self.logp = self.logp.ravel()
         self.start = int(self.next[self.column[MARK]])
+        self.whole = None
 
     def _transitions(self, trie: Trie, seen: np.ndarray, base: np.ndarray, suffix: np.ndarray) -> np.ndarray:
         out = np.zeros((int(base[-1]), self.width), np.int32)
@@ -201,10 +214,49 @@ class Automaton:
 
     def score(self, symbols: np.ndarray, off: np.ndarray) -> np.ndarray:
         """log2 probability of each document of a marked stream: one row a document, one column a group."""
-        n, docs = len(symbols), len(off) - 1
-        shape = (docs,) if self.logp.ndim == 1 else (docs, self.logp.shape[1])
-        if not n:
-            return np.zeros(shape)
+        if not len(symbols):
+            docs = len(off) - 1
+            return np.zeros((docs,) if self.logp.ndim == 1 else (docs, self.logp.shape[1]))
+        return np.add.reduceat(self._walk(symbols, self.logp), off[:-1], axis=0, dtype=np.float64)  # each document has its mark, so none is empty
+
+    def sure(self, symbols: np.ndarray) -> np.ndarray:
+        """log2 probability of each symbol of a marked stream whose longest context is in the trie, and NaN for the others; one group."""
+        if not len(symbols):
+            return np.zeros(0, np.float32)
+        if self.whole is None:
+            whole = [np.full(len(k), d == self.order) | (d > 0) & (k >> 8 * max(0, d - 1) == MARK) for d, k in enumerate(self.trie.keys)]
+            self.whole = np.where(np.repeat(np.concatenate(whole), self.width), self.logp, np.float32(np.nan))
+        return self._walk(symbols, self.whole)
+
+    def behind(self, depth: np.ndarray, ctx: np.ndarray, sym: np.ndarray, rare: tuple) -> np.ndarray:
+        """log2 probability of symbols sym behind contexts (depth, ctx), with the trie and rare contexts' entries (depth,
+        ctx, sym, n), among which are all entries of these contexts and their suffixes that the trie lacks; one group."""
+        trie, (rare_depth, rare_ctx, rare_sym, rare_n) = self.trie, rare
+        old = np.cumsum([0, *map(len, trie.keys)])
+        keys, known = [], []
+        for d, mine in enumerate(trie.keys):
+            own = np.unique(ctx[depth >= d] & ((1 << 8 * d) - 1))
+            known.append(np.union1d(own[np.isin(own, mine)], mine if d == 0 else mine[:0]))
+            keys.append(np.union1d(known[d], rare_ctx[rare_depth == d]))
+        base = np.cumsum([0, *map(len, keys)])
+        new = np.full(int(old[-1]), -1, np.int64)
+        node, at = np.zeros(len(rare_ctx), np.int64), np.zeros(len(ctx), np.int64)
+        for d, mine in enumerate(keys):
+            new[old[d] + np.searchsorted(trie.keys[d], known[d])] = base[d] + np.searchsorted(mine, known[d])
+            own = rare_depth == d
+            node[own] = base[d] + np.searchsorted(mine, rare_ctx[own])
+            if len(mine):
+                cut = ctx & ((1 << 8 * d) - 1)
+                spot = np.minimum(np.searchsorted(mine, cut), len(mine) - 1)
+                at = np.where((depth >= d) & (mine[spot] == cut), base[d] + spot, at)
+        kept = new[trie.node] >= 0
+        node = np.concatenate([new[trie.node[kept]], node])
+        column = self.column[np.concatenate([trie.sym[kept], rare_sym.astype(np.uint8)])]
+        return self._code_lengths(node, column, np.concatenate([trie.n[kept], rare_n]), base, suffixes(keys, base))[at, self.column[sym]]
+
+    def _walk(self, symbols: np.ndarray, table_of: np.ndarray) -> np.ndarray:
+        """What the table holds for each symbol of a marked stream."""
+        n = len(symbols)
         lanes = min(LANES, max(1, n // (8 * self.order + 8)))
         steps = -(-n // lanes)
         padded = np.full(self.order + lanes * steps, self.column[MARK], np.int32)
@@ -214,10 +266,9 @@ class Automaton:
         state = np.full(lanes, self.start, np.int32)
         for t in range(self.order):
             state = self.next[state + table[t]]
-        got = np.empty((steps, lanes, *self.logp.shape[1:]), np.float32)
+        got = np.empty((steps, lanes, *table_of.shape[1:]), np.float32)
         for t in range(steps):
             at = state + table[self.order + t]
-            np.take(self.logp, at, axis=0, out=got[t])
+            np.take(table_of, at, axis=0, out=got[t])
             state = self.next[at]
-        flat = got.swapaxes(0, 1).reshape(lanes * steps, *self.logp.shape[1:])[:n]
-        return np.add.reduceat(flat, off[:-1], axis=0, dtype=np.float64)  # each document has its mark, so none is empty
+        return got.swapaxes(0, 1).reshape(lanes * steps, *table_of.shape[1:])[:n]

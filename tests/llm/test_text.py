@@ -110,6 +110,19 @@ def test_language_model(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("share", [0.0, 0.004, 0.05, 1.0])
+def test_rare_contexts_count(spark, share):
+    train = ["the cat sat on the mat", "the dog sat", "", "éa", "the the the", "a zebra sat on a rare quagga", "the cat sat on the mat"]
+    texts = ["the cat", "zebra ☃", "", "a", "the quagga sat on the zebra", "zzz", " ".join(["the dog sat on the mat"] * 20), "a rare quagga"]
+    _, found = trie(train, 5)
+    docs = spark.createDataFrame([*enumerate(texts), *enumerate(texts)], "doc_id long, text string")
+    got = lm_score(spark.createDataFrame([(t,) for t in train], "text string"), docs, min_share=share).collect()
+    want = [plain_ppm(found, 5, t, 0) * math.log10(2) for t in texts]
+    assert len(got) == 2 * len(texts) and all(r.score == pytest.approx(want[r.doc_id], rel=1e-5) for r in got)
+    none = lm_score(spark.createDataFrame([], "text string"), docs, min_share=share).collect()
+    assert all(r.score == pytest.approx((len(texts[r.doc_id].encode()) + 1) * -math.log10(257), rel=1e-5) for r in none) and len(none) == len(got)
+
+
 def test_repair_round_trip():
     rng = np.random.default_rng(1)
     for n, kinds in ((0, 5), (1, 5), (50, 2), (5000, 3), (40000, 400)):
