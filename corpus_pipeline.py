@@ -19,6 +19,11 @@ from lamella.workspace import Workspace
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _numbered(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """The rows of docs, saved, each with a number of its own: a doc_id may be null or be shared by several."""
+    return Workspace(spark, name).save(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language (no text, or no letter) go; a missing label is filled with the prediction."""
     docs = docs.select(*COLUMNS)
@@ -28,24 +33,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id stays, once; rows without doc_id go."""
-    docs = docs.select(*COLUMNS)
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of each group of near-duplicates the row with the least doc_id stays, once; null counts as the greatest."""
+    rows = _numbered(spark, docs, "dedup")
+    groups = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    kept = rows.select("row", "doc_id").join(groups, "row").groupBy("component_id").agg(first).select("first.row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    docs = docs.select(*COLUMNS)
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    rows = _numbered(spark, docs, "clean")
+    found = leaks(rows.select(F.col("row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    docs = docs.select(*COLUMNS)
-    copies = mix(docs).where("copies > 0").select("doc_id", "copies")
-    taken = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    rows = _numbered(spark, docs, "mixture")
+    copies = mix(rows, keep=["row"]).where("copies > 0").select("row", "copies")
+    taken = rows.join(copies, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return taken.select(*COLUMNS)
 
 

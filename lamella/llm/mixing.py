@@ -97,12 +97,12 @@ def _decide(seed: int, land: bool):
     return run
 
 
-def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 8, block: int = BLOCK, work: Workspace | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies of docs (doc_id, text, source). The sources' totals, one row a
+def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 8, block: int = BLOCK, work: Workspace | None = None, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """doc_id, source, size, source_size, target, copies, and keep columns, of docs (doc_id, text, source, keep). The sources' totals, one row a
     source, are the only thing that the driver gets."""
     spark = docs.sparkSession
     work = work or Workspace(spark, "mix")
-    sized = work.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sized = work.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).collect()
     totals.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
     words = {r.source: r.words for r in totals}
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, s
         sized.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("plan_source")))
         .withColumns({"order": order, "base": F.floor("rate"), "block": F.pmod(order, "blocks")})
         .withColumn("p", F.col("rate") - F.col("base"))
-        .select("doc_id", "source", "size", "source_size", "target", "base", "p", "order", "block")
+        .select("doc_id", "source", "size", "source_size", "target", "base", "p", "order", "block", *keep)
     )
     done, left = [], max((r.docs for r in totals), default=0)
     while True:
@@ -134,7 +134,7 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, s
     for more in done[1:]:
         out = out.unionByName(more)
     work.drop(sized)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("p").cast("long")).cast("long").alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("p").cast("long")).cast("long").alias("copies"), *keep)
 
 
 def op8_mix_cube(spark, sf_dir: str) -> DataFrame:

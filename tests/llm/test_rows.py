@@ -172,3 +172,23 @@ def test_pipeline(spark):
     assert max(np.unique([r["doc_id"] for r in mixed], return_counts=True)[1]) <= 2
     assert [r["doc_id"] for r in sorted(tokens, key=lambda r: r["start"])] == sorted(r["doc_id"] for r in mixed)
     assert P.run(spark, sf).count() > 0
+
+
+def test_pipeline_keeps_rows(spark):
+    """Rows without an id and rows that share one are rows of their own in each stage."""
+    import corpus_pipeline as P
+
+    rng, sf = random.Random(9), "/root/testdata/sf0.001"
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    base = text()
+    near = [f"x{i}" if i == 30 else w for i, w in enumerate(base)]  # 91 of 101 shingles
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("size(split(text, ' ')) > 12").first().text
+    clean = [(None, text()), (None, text()), (7, text()), (7, text()), (7, text())]
+    rows = [*clean, (1, base), (2, near), (None, near), (8, [item]), (None, [*text(), item]), (8, text())]
+    docs = spark.createDataFrame([(d, " ".join(t), "en", "src0", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = lambda df: sorted(((str(r.doc_id), r.text) for r in df.collect()))
+    want = lambda rs: sorted((str(d), " ".join(t)) for d, t in rs)
+    assert got(P.near_dedup(spark, docs, sf)) == want([r for r in rows if r[1] is not near])
+    assert got(P.decontaminate(spark, docs, sf)) == want([r for r in rows if item not in r[1]])
+    taken = got(P.mixture(spark, docs, sf))
+    assert set(taken) == set(got(docs)) and all(1 <= taken.count(r) <= 2 for r in taken)
