@@ -11,10 +11,12 @@ only; links are closed inside each task first and then between tasks.
 
 A shard with more than MEMBERS vectors is split by a hash into pieces, and each of its queries goes to all of them; so
 no task holds an unbounded group and no vector is left out. `audit` compares a bounded sample of queries with all
-vectors; if it finds a recall under LEAST_RECALL, the beam and the probes are doubled and the search is repeated.
+vectors; while it finds a recall under LEAST_RECALL (the mean of the queries' shares of distinct partners), the beam and
+the probes are doubled and the search is repeated, at last in all shards and with a beam as wide as a shard; a recall
+that is under FAILED even then is an error. Vectors of each length are searched among themselves, one length at a time.
 
-Defined results: a vector that is null, of another length than the first one's, zero, or with null or non-finite
-components links with nothing; equal vectors link with each other; repeated ids are rows of one id; an empty table
+Defined results: a vector that is null, zero, or with null or non-finite components links with nothing, and neither do
+vectors of different lengths; equal vectors link with each other; repeated ids are rows of one id; an empty table
 gives no rows; further columns are ignored.
 """
 
@@ -34,7 +36,7 @@ SAMPLE, SHARD, MEMBERS, QUERIES = 8192, 1000, 4096, 4096
 OVERLAP, PROBES = 2, 3
 DEGREE, CANDIDATES, NEAREST, ALPHA = 16, 40, 20, 1.2
 RANDOM, BEAM, MARGIN, BLOCK = 2, 16, 0.04, 512
-AUDIT, LEAST_RECALL = 256, 0.97
+AUDIT, LEAST_RECALL, FAILED = 256, 0.97, 0.9
 
 
 def centres(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 10) -> np.ndarray:
@@ -218,7 +220,7 @@ def _search(centre, width: int, least: float, beam: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         member, query = rows[rows["member"]].sort_values("id"), rows[~rows["member"]].sort_values("id")
         ids, own = member["id"].to_numpy(), query["id"].to_numpy()
-        links, root = np.zeros(len(own), np.int64), own.copy()
+        links, pairs, root = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), own.copy()
         if len(ids) and len(own):
             x, y = _unit(member["embedding"], width), _unit(query["embedding"], width)
             near = []
@@ -245,20 +247,21 @@ def _search(centre, width: int, least: float, beam: int):
                 who, what = who[other], what[other]
                 here = ~(homes[what][:, :, None] == nearer[a + who][:, None, :]).any((1, 2))
                 links[a : a + BLOCK] += np.bincount(who, copies[what] * here, min(BLOCK, len(own) - a)).astype(np.int64)
+                pairs[a : a + BLOCK] += np.bincount(who, here, min(BLOCK, len(own) - a)).astype(np.int64)
                 for i, j in zip(own[a + who].tolist(), ids[what].tolist()):
                     i, j = find(i), find(j)
                     if i != j:
                         parent[max(i, j)] = min(i, j)
-            out = pd.DataFrame({"id": own, "links": links, "root": [find(k) for k in own.tolist()]})
+            out = pd.DataFrame({"id": own, "links": links, "pairs": pairs, "root": [find(k) for k in own.tolist()]})
             more = [k for k in list(parent) if k not in set(own.tolist())]
-            return pd.concat([out, pd.DataFrame({"id": np.array(more, np.int64), "links": np.zeros(len(more), np.int64), "root": np.array([find(k) for k in more], np.int64)})])
-        return pd.DataFrame({"id": own, "links": links, "root": root})
+            return pd.concat([out, pd.DataFrame({"id": np.array(more, np.int64), "links": np.zeros(len(more), np.int64), "pairs": np.zeros(len(more), np.int64), "root": np.array([find(k) for k in more], np.int64)})])
+        return pd.DataFrame({"id": own, "links": links, "pairs": pairs, "root": root})
 
     return run
 
 
 def _audit(asked, least: float):
-    """Partial counts of the audited vectors' true partners."""
+    """Partial counts of the audited vectors' true partners, equal ones once."""
 
     def run(batches):
         ids, x = asked.value
@@ -268,31 +271,15 @@ def _audit(asked, least: float):
                 y = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 y /= np.linalg.norm(y, axis=1, keepdims=True)
                 hit = (x @ y.T >= least) & (ids[:, None] != batch.column(0).to_numpy()[None, :])
-                total += hit @ batch.column(1).to_numpy()
+                total += hit.sum(1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "partners"])
 
     return run
 
 
-def similar_vectors(table: DataFrame, least: float = LEAST_COSINE, work: Workspace | None = None) -> tuple[DataFrame, float]:
-    """vec_id, n_links, component_id, kept of table (vec_id, embedding), and the audited recall."""
-    spark = table.sparkSession
-    work = work or Workspace(spark, "vectors")
-    rows = table.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    head = rows.where("embedding IS NOT NULL AND size(embedding) > 0").agg(F.min_by(F.size("embedding"), "vec_id")).first()[0]
-    width = head or 1
-    fine = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-    usable = fine & (F.size("embedding") == width) & F.coalesce((norm > 0) & (norm < float("inf")), F.lit(False)) & F.col("vec_id").isNotNull()
-    keyed = F.transform("embedding", lambda x: x + F.lit(0.0))  # -0.0 is 0.0
-    rows = work.save(rows.select("vec_id", usable.alias("usable"), F.when(usable, keyed).alias("embedding")).withColumn("hash", F.sha2(F.to_json(F.struct("embedding")).cast("binary"), 256)), "rows")
-    classes = rows.where("usable").groupBy("hash").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-    classes = work.save(classes, "classes")
-    n = classes.count()
-    plain = rows.select("vec_id", "usable", "hash")
-    if not n:
-        out = plain.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-        return out.withColumn("kept", F.col("vec_id").isNotNull()), 1.0
+def _linked(classes: DataFrame, n: int, width: int, least: float, work: Workspace) -> tuple[DataFrame, float]:
+    """id, links and component, where found, of n saved classes (id, copies, embedding) of one length, and the audited recall."""
+    spark = classes.sparkSession
     unit = F.pmod(F.xxhash64("id", F.lit(10)), F.lit(1 << 30))
     sample = classes.where(unit <= F.lit(int(min(1.0, SAMPLE / n) * (1 << 30)))).select("embedding").toArrow()["embedding"]
     sample = _unit(pd.Series(sample.to_pylist() or [classes.select("embedding").first()[0]]), width)
@@ -317,18 +304,47 @@ def similar_vectors(table: DataFrame, least: float = LEAST_COSINE, work: Workspa
     while True:
         parts = spark.sparkContext.broadcast(np.maximum(1, -(-sizes * probes // (OVERLAP * QUERIES))))
         routed = whole.mapInArrow(_route(centre, probes, pieces, parts), ROUTED)
-        found = work.save(routed.groupBy("shard", "piece", "part").applyInPandas(_search(centre, width, least, beam), "id long, links long, root long"), "found")
-        counts = work.save(found.groupBy("id").agg(F.sum("links").alias("links")), "counts")
-        got = {r.id: r.links for r in counts.where(F.col("id").isin([int(k) for k in truth])).collect()}
-        total = sum(truth.values())
-        recall = sum(min(truth[k], got.get(k, 0)) for k in truth) / total if total else 1.0
-        if recall >= LEAST_RECALL or probes >= min(len(mid), 4 * PROBES):
+        found = work.save(routed.groupBy("shard", "piece", "part").applyInPandas(_search(centre, width, least, beam), "id long, links long, pairs long, root long"), "found")
+        counts = work.save(found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs")), "counts")
+        got = {r.id: r.pairs for r in counts.where(F.col("id").isin([int(k) for k in truth])).collect()}
+        shares = [min(t, got.get(k, 0)) / t for k, t in truth.items() if t]
+        recall = sum(shares) / len(shares) if shares else 1.0
+        if recall >= LEAST_RECALL or probes >= len(mid) and beam >= MEMBERS:
             break
-        beam, probes = 2 * beam, 2 * probes
+        work.drop(found, counts)
+        beam, probes = 2 * beam, min(2 * probes, max(PROBES, len(mid)))
+    if recall < FAILED:
+        raise RuntimeError(f"the search finds {recall:.3f} of the audited links, less than {FAILED}")
     tied = graph.components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), work)
-    named = classes.select("hash", "id", "copies").join(counts, "id", "left").join(tied.withColumnRenamed("node", "id"), "id", "left")
+    return counts.select("id", "links").join(tied.withColumnRenamed("node", "id"), "id", "left"), recall
+
+
+def similar_vectors(table: DataFrame, least: float = LEAST_COSINE, work: Workspace | None = None) -> tuple[DataFrame, float]:
+    """vec_id, n_links, component_id, kept of table (vec_id, embedding), and the least audited recall of a length."""
+    spark = table.sparkSession
+    work = work or Workspace(spark, "vectors")
+    rows = table.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    fine = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    usable = fine & F.coalesce((norm > 0) & (norm < float("inf")), F.lit(False)) & F.col("vec_id").isNotNull()
+    keyed = F.transform("embedding", lambda x: x + F.lit(0.0))  # -0.0 is 0.0
+    rows = work.save(rows.select("vec_id", usable.alias("usable"), F.when(usable, keyed).alias("embedding")).withColumn("hash", F.sha2(F.to_json(F.struct("embedding")).cast("binary"), 256)), "rows")
+    classes = rows.where("usable").groupBy("hash").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    classes = work.save(classes.withColumn("width", F.size("embedding")), "classes")
+    named, recall = classes.select("hash", "id", "copies", "width"), 1.0
+    sides = []
+    for r in classes.groupBy("width").agg(F.count("*").alias("n")).orderBy("width").collect():
+        if r.n > 1:
+            links, one = _linked(classes.where(F.col("width") == r.width), r.n, r.width, least, work)
+            sides.append(links.withColumn("width", F.lit(r.width)))
+            recall = min(recall, one)
+    links = spark.createDataFrame([], "id long, links long, component long, width int") if not sides else sides[0]
+    for more in sides[1:]:
+        links = links.unionByName(more)
+    named = named.join(links, ["id", "width"], "left")
     named = work.save(named.select("hash", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "named")
-    out = plain.join(named, "hash", "left").select("vec_id", F.when(F.col("usable"), F.col("n_links")).otherwise(0).alias("n_links"), F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+    out = rows.select("vec_id", "usable", "hash").join(named, "hash", "left")
+    out = out.select("vec_id", F.when(F.col("usable"), F.col("n_links")).otherwise(0).alias("n_links"), F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), recall
 
 

@@ -156,3 +156,20 @@ def test_vectors(spark):
     assert got[131] == (near[131].sum() - 1, 5, False) and got[100][2]
     assert all(got[1000 + i] == (0, 1000 + i, True) for i in range(len(odd)))
     assert similar_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>"))[0].count() == 0
+
+
+def test_vectors_spread_over_shards(spark, monkeypatch):
+    """One group over all shards, a length of its own for the least id: every link is found."""
+    from lamella.llm import vectors as V
+
+    monkeypatch.setattr(V, "SHARD", 5)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal(8) + 0.03 * rng.standard_normal((200, 8))
+    y = rng.standard_normal((20, 3))
+    rows = [(0, [1.0, 2.0]), *((1 + i, v.tolist()) for i, v in enumerate(x)), *((500 + i, v.tolist()) for i, v in enumerate(y))]
+    out, recall = similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in out.collect()}
+    links = lambda v: ((u := v / np.linalg.norm(v, axis=1, keepdims=True)) @ u.T >= 0.95).sum(1) - 1
+    assert recall >= 0.97 and got[0] == (0, 0) and len(got) == len(rows)
+    assert sum(got[1 + i][0] for i in range(200)) >= 0.97 * links(x).sum() > 0 and {got[1 + i][1] for i in range(200)} == {1}
+    assert [got[500 + i][0] for i in range(20)] == links(y).tolist()
