@@ -192,3 +192,9 @@ def test_pipeline_keeps_rows(spark):
     assert got(P.decontaminate(spark, docs, sf)) == want([r for r in rows if item not in r[1]])
     taken = got(P.mixture(spark, docs, sf))
     assert set(taken) == set(got(docs)) and all(1 <= taken.count(r) <= 2 for r in taken)
+
+
+def test_toxicity_trains_on_long_texts(spark):
+    texts = [(i, "w1 w2 " * 7000 + "idiot" if i % 2 else f"w{i} w2") for i in range(8)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    assert isinstance(X.fit(spark.createDataFrame(texts, "doc_id long, text string"), labels), X.Network)
