@@ -16,6 +16,8 @@ from lamella.llm.neardup import near_duplicates
 from lamella.llm.repair import token_shards
 from lamella.workspace import Workspace
 
+#: Least similarity of word shingles at which documents are near-duplicates.
+PERCENT = 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -35,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the row with the least doc_id stays, once; null counts as the greatest."""
     rows = _numbered(spark, docs, "dedup")
-    groups = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    groups = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), PERCENT).select(F.col("doc_id").alias("row"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
     kept = rows.select("row", "doc_id").join(groups, "row").groupBy("component_id").agg(first).select("first.row")
     return rows.join(kept, "row", "left_semi").select(*COLUMNS)

@@ -162,7 +162,7 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in lang} == {r["doc_id"] for r in first} - {10**6, 10**6 + 1}
     from tests.llm.test_pairs import brute
 
-    groups = brute([(r["doc_id"], r["text"]) for r in lang])
+    groups = brute([(r["doc_id"], r["text"]) for r in lang], 80)
     assert {r["doc_id"] for r in dedup} == {d for d, (_, c) in groups.items() if c == d}
     grams = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)})(re.findall(r"[^\x20\x09-\x0D]+", t.lower()))
     items = [grams(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
