@@ -11,6 +11,8 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,11 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamella.llm import ppm
-from lamella.llm.textkit import column_bytes, pieces
+from lamella.llm.textkit import column_bytes, kept, pieces, tidy
 from lamella.workspace import Workspace
 
 ORDER, MIN_SHARE, DOCS_PER_LANG = 4, 1e-4, 1500
 UNKNOWN = "und"
+#: Languages whose tables a worker holds at a time.
+LANGS = 16
 
 
 def count_grams(order: int, column: str = "text"):
@@ -64,42 +68,47 @@ def fit(labelled: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE, d
 
 
 def predict(docs: DataFrame, langs: list, trie: ppm.Trie | None, keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
-    """keep columns, lang_pred, score of docs (keep, text); score is the posterior of the language under equal priors."""
+    """keep columns, lang_pred, score of docs (keep, text); score is the posterior of the language under equal priors.
+
+    Only the lower-cased text goes to Python; the other columns wait in the JVM, which spills them. Languages are scored
+    LANGS at a time, so that the tables don't grow with their number."""
     spark = docs.sparkSession
     if not langs:
         return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    held = spark.sparkContext.broadcast(trie)
-    names = np.array([*langs, UNKNOWN], dtype=object)
-
-    def run(batches):
-        model = _model(held)
-        for batch in batches:
-            buf, off = column_bytes(batch.column(1))
-            letters = batch.column(2).to_numpy(zero_copy_only=False)
-            best, score = np.full(len(off) - 1, len(langs)), np.zeros(len(off) - 1)
-            for a, b in pieces(off):
-                bits = model.score(*ppm.stream(buf[off[a] : off[b]], off[a : b + 1] - off[a])).reshape(b - a, -1)
-                best[a:b] = bits.argmax(1)
-                score[a:b] = 1 / np.exp2(np.maximum(bits - bits.max(1, keepdims=True), -1000)).sum(1)
-            best, score = np.where(letters, best, len(langs)), np.where(letters, score, 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score)], names=["kept", "lang_pred", "score"])
-
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.struct(*keep).alias("kept"), F.lower("text").alias("text"), letters.alias("letters"))
-    out = rows.mapInArrow(run, T.StructType([*rows.schema[:1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
-    return out.select("kept.*", "lang_pred", "score")
+    held = [spark.sparkContext.broadcast(trie.only(range(a, min(a + LANGS, len(langs))))) for a in range(0, len(langs), LANGS)]
+    kind = T.StructType([T.StructField("best", T.IntegerType()), T.StructField("score", T.DoubleType())])
 
+    def bits(texts: pa.Array, model: ppm.Automaton) -> np.ndarray:
+        buf, off = column_bytes(texts)
+        found = [model.score(*ppm.stream(buf[off[a] : off[b]], off[a : b + 1] - off[a])).reshape(b - a, -1) for a, b in pieces(off)]
+        return np.concatenate(found) if found else np.zeros((0, model.trie.n_groups))
 
-_models: dict = {}
+    @tidy
+    def run(batches):
+        for texts in batches:
+            each = np.concatenate([bits(texts, model_of(one)) for one in held], axis=1)
+            score = 1 / np.exp2(np.maximum(each - each.max(1, keepdims=True), -1000)).sum(1)
+            yield pa.StructArray.from_arrays([pa.array(each.argmax(1).astype(np.int32)), pa.array(score)], names=["best", "score"])
 
+    def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return run(texts)
 
-def _model(held) -> ppm.Automaton:
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    # not deterministic: else a filter on the result would have each text scored twice
+    guess = F.arrow_udf(found, kind).asNondeterministic()(F.lower(F.coalesce("text", F.lit(""))))
+    names = F.array(*map(F.lit, langs))
+    out = docs.select(F.struct(*keep).alias("kept"), letters.alias("letters"), guess.alias("guess"))
+    return out.select(
+        "kept.*",
+        F.when(F.col("letters"), F.element_at(names, F.col("guess.best") + 1)).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(F.col("letters"), F.col("guess.score")).otherwise(0.0).alias("score"),
+    )
+
+
+def model_of(held, **kind) -> ppm.Automaton:
     """The broadcast trie's tables, built once in each Python worker."""
-    key = id(held.value)
-    if key not in _models:
-        _models.clear()
-        _models[key] = (ppm.Automaton(held.value), held.value)
-    return _models[key][0]
+    trie = held.value
+    return kept((id(trie), *kind), lambda: ppm.Automaton(trie, **kind))
 
 
 def held_out(parts: int, part: int):

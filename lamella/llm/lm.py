@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from lamella.llm import ppm
-from lamella.llm.langid import _model, held_out
-from lamella.llm.textkit import IS_SPACE, LOWER, Words, column_bytes, pieces
+from lamella.llm.langid import held_out, model_of
+from lamella.llm.textkit import IS_SPACE, LOWER, Words, column_bytes, pieces, tidy
 from lamella.workspace import Workspace
 
 ORDER, MIN_SHARE = 5, 1e-6
@@ -84,7 +84,7 @@ def _by_doc(keys: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
 
 def _score(trie, heavy):
     def run(batches):
-        model = _model(trie)
+        model = model_of(trie, whole_only=True)
         keys, counts = heavy.value
         logs = np.log10(counts + 0.5)
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
@@ -136,7 +136,7 @@ def _behind(trie):
     """(key, bits) of rows (own, syms, chain): symbols asked for behind a context, and its rows of the table of contexts."""
 
     def run(batches):
-        model = _model(trie)
+        model = model_of(trie, whole_only=True)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -164,7 +164,7 @@ def _deep_bits(deep: DataFrame, rare: DataFrame, trie, work: Workspace) -> DataF
     asked = work.save(asked, "asked")
     chain = asked.select("own").mapInArrow(_levels(trie), "own long, at long").join(rare, "at").groupBy("own").agg(F.collect_list(F.struct("at", "symbols")).alias("chain"))
     none = F.expr("CAST(array() AS array<struct<at: bigint, symbols: array<struct<sym: int, n: bigint>>>>)")
-    bits = asked.join(chain, "own", "left").select("own", "syms", F.coalesce("chain", none).alias("chain")).mapInArrow(_behind(trie), "key long, bits double")
+    bits = asked.join(chain, "own", "left").select("own", "syms", F.coalesce("chain", none).alias("chain")).mapInArrow(tidy(_behind(trie)), "key long, bits double")
     return deep.join(work.save(bits, "bits"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("bits")).alias("deep_bits"))
 
 
@@ -172,7 +172,7 @@ def lm_score(train: DataFrame, docs: DataFrame, order: int = ORDER, min_share: f
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text), learned from train (text)."""
     spark = docs.sparkSession
     work = work or Workspace(spark, "lm")
-    counted = work.save(train.select("text").mapInArrow(_count(order), ppm.COUNTED).groupBy("grp", "key").agg(F.sum("n").alias("n")), "counts")
+    counted = work.save(train.select("text").mapInArrow(tidy(_count(order)), ppm.COUNTED).groupBy("grp", "key").agg(F.sum("n").alias("n")), "counts")
     every = work.save(ppm.all_contexts(counted.where(F.col("grp") == BYTES), min_share), "contexts")
     trie = spark.sparkContext.broadcast(ppm.Trie.build(every.where("heavy").drop("heavy").toArrow(), order, 1))
     words = counted.where((F.col("grp") == WORDS) & (F.col("n") > 0)).select("key", "n")
@@ -183,7 +183,7 @@ def lm_score(train: DataFrame, docs: DataFrame, order: int = ORDER, min_share: f
     by_key = np.argsort(keys)
     ends = words.where("key = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     heavy = spark.sparkContext.broadcast((keys[by_key], counts[by_key]))
-    scored = work.save(docs.select("doc_id", "text").mapInArrow(_score(trie, heavy), SCORED), "scored")
+    scored = work.save(docs.select("doc_id", "text").mapInArrow(tidy(_score(trie, heavy)), SCORED), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.key", "r.times")
     tail = (
         rare.join(words, "key")  # a rare word without a count stays out here and is counted below

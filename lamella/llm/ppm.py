@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 #: Never a byte of UTF-8: ends a document, and starts the next one's context.
 MARK = 0xFF
 LANES = 4096
+#: Rows of the tables that are made at a time.
+ROWS = 4096
 
 
 def stream(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,11 +151,24 @@ class Trie:
             node[own] = base[d] + np.searchsorted(keys[d], ctx[own])
         return Trie(order, keys, np.repeat(node, each), sym.astype(np.uint8), np.repeat(grp, each).astype(np.int32), n.astype(np.float64), n_groups)
 
+    def only(self, groups: range) -> Trie:
+        """The trie of some groups: with a context, a group has its suffixes, too."""
+        own = (self.grp >= groups.start) & (self.grp < groups.stop)
+        used = np.zeros(sum(map(len, self.keys)), bool)
+        used[self.node[own]] = used[: len(self.keys[0])] = True
+        base = np.cumsum([0, *map(len, self.keys)])
+        keys = [k[used[a:b]] for k, a, b in zip(self.keys, base[:-1], base[1:])]
+        node = (np.cumsum(used) - 1)[self.node[own]].astype(np.int32)
+        return Trie(self.order, keys, node, self.sym[own], self.grp[own] - np.int32(groups.start), self.n[own], len(groups))
+
 
 class Automaton:
-    """states x symbols tables of a trie: the next state, and log2 probabilities for each group."""
+    """states x symbols tables of a trie: the next state, and log2 probabilities for each group.
+
+    whole_only: keep NaN for symbols whose longest context isn't in the trie. Tables are made a depth and some rows at a
+    time, so that making them takes little more memory than holding them."""
 
-    def __init__(self, trie: Trie):
+    def __init__(self, trie: Trie, whole_only: bool = False):
         self.order, self.trie = trie.order, trie
         seen = np.unique(np.concatenate([trie.sym, np.array([MARK], np.uint8)]))
         self.width = width = len(seen) + 1  # the last column: bytes never seen
@@ -162,55 +177,72 @@ class Automaton:
         base = np.cumsum([0, *map(len, trie.keys)])
         states = int(base[-1])
         suffix = suffixes(trie.keys, base)
-        self.next = self._transitions(trie, seen, base, suffix)
         self.logp = np.empty((states, width, trie.n_groups), np.float32)
         for g in range(trie.n_groups):
             own = trie.grp == g
-            self.logp[:, :, g] = self._code_lengths(trie.node[own], self.column[trie.sym[own]], trie.n[own], base, suffix)
-        self.next = (self.next * width).astype(np.int32).ravel()
+            self._code_lengths(trie.node[own], self.column[trie.sym[own]], trie.n[own], base, suffix, self.logp[:, :, g])
+        if whole_only:
+            whole = [np.full(len(k), d == self.order) | (d > 0) & (k >> 8 * max(0, d - 1) == MARK) for d, k in enumerate(trie.keys)]
+            self.logp[~np.concatenate(whole)] = np.nan
+        self.next = self._transitions(trie, seen, base, suffix)
+        self.next *= np.int32(width)
+        self.next = self.next.ravel()
         self.logp = self.logp.reshape(states * width, trie.n_groups)
         if trie.n_groups == 1:
             self.logp = self.logp.ravel()
         self.start = int(self.next[self.column[MARK]])
-        self.whole = None
 
     def _transitions(self, trie: Trie, seen: np.ndarray, base: np.ndarray, suffix: np.ndarray) -> np.ndarray:
         out = np.zeros((int(base[-1]), self.width), np.int32)
         for d in range(trie.order + 1):
-            rows = slice(base[d], base[d + 1])
-            if d:
-                out[rows] = out[suffix[rows]]
-            if d < trie.order:
-                grown = (trie.keys[d][:, None] << 8) | seen[None, :].astype(np.int64)
-                at = np.minimum(np.searchsorted(trie.keys[d + 1], grown), max(0, len(trie.keys[d + 1]) - 1))
-                there = trie.keys[d + 1][at] == grown if len(trie.keys[d + 1]) else np.zeros(grown.shape, bool)
-                out[rows, :-1] = np.where(there, base[d + 1] + at, out[rows, :-1])
+            for a in range(base[d], base[d + 1], ROWS):
+                rows = slice(a, min(a + ROWS, base[d + 1]))
+                if d:
+                    out[rows] = out[suffix[rows]]
+                if d < trie.order and len(trie.keys[d + 1]):
+                    grown = (trie.keys[d][a - base[d] : rows.stop - base[d], None] << 8) | seen[None, :].astype(np.int64)
+                    at = np.minimum(np.searchsorted(trie.keys[d + 1], grown), len(trie.keys[d + 1]) - 1)
+                    out[rows, :-1] = np.where(trie.keys[d + 1][at] == grown, base[d + 1] + at, out[rows, :-1])
         mark = trie.keys[1][trie.keys[1] == MARK] if trie.order else []
         out[:, self.column[MARK]] = base[1] + np.searchsorted(trie.keys[1], MARK) if len(mark) else 0
         return out
 
-    def _code_lengths(self, node: np.ndarray, col: np.ndarray, n: np.ndarray, base: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    def _code_lengths(self, node: np.ndarray, col: np.ndarray, n: np.ndarray, base: np.ndarray, suffix: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """log2 probabilities into out, states x symbols, for entries (node, col, n)."""
         states = int(base[-1])
         total, kinds = np.bincount(node, n, states), np.bincount(node, minlength=states).astype(float)
-        count = np.zeros((states, self.width), np.float32)
-        count[node, col] = n
-        # what each state's own symbols hold in its suffix, to be excluded there after an escape
-        gone = np.bincount(node, count[suffix[node], col], states)
-        left = np.maximum(0, total[suffix] - gone), np.maximum(0, kinds[suffix] - kinds)
-        with np.errstate(divide="ignore", invalid="ignore"):  # of entries that np.where leaves out
-            escape = np.where(total > 0, np.log2(kinds / (total + kinds)), 0)
-            bound = np.log2(total + kinds)
-            cut_bound = np.log2(left[0] + left[1])
-            cut_bound = np.where(left[0] + left[1] > 0, cut_bound, 0)
-            cut_escape = np.where(left[1] > 0, np.log2(left[1]) - cut_bound, 0)
-            log_count = np.log2(count)
-        below = np.empty((states, self.width), np.float32)  # behind an escape from the state
-        below[0] = -np.log2(257 - kinds[0])
-        for d in range(1, len(base) - 1):
+        order = np.argsort(node, kind="stable")
+        node, col, n = node[order], col[order], n[order]
+        first = np.searchsorted(node, base)
+        count = below = up_count = up_below = np.zeros((0, self.width), np.float32)
+        for d in range(len(base) - 1):
+            up_count, up_below, size = count, below, int(base[d + 1] - base[d])
+            own = slice(first[d], first[d + 1])
+            local, columns = node[own] - base[d], col[own]
+            count, below = np.zeros((size, self.width), np.float32), np.empty((size, self.width), np.float32)
+            count[local, columns] = n[own]
             rows = slice(base[d], base[d + 1])
-            up = suffix[rows]
-            below[rows] = np.where(count[up] > 0, log_count[up] - cut_bound[rows, None], cut_escape[rows, None] + below[up])
-        return np.where(count > 0, log_count - np.where(total > 0, bound, 0)[:, None], escape[:, None] + below)
+            if d:
+                up = suffix[rows] - base[d - 1]
+                # what each state's own symbols hold in its suffix, to be excluded there after an escape
+                gone = np.bincount(local, up_count[up[local], columns], size)
+                left = np.maximum(0, total[suffix[rows]] - gone), np.maximum(0, kinds[suffix[rows]] - kinds[rows])
+            with np.errstate(divide="ignore", invalid="ignore"):  # of entries that np.where leaves out
+                escape = np.where(total[rows] > 0, np.log2(kinds[rows] / (total[rows] + kinds[rows])), 0).astype(np.float32)
+                bound = np.where(total[rows] > 0, np.log2(total[rows] + kinds[rows]), 0).astype(np.float32)
+                if d:
+                    cut_bound = np.where(left[0] + left[1] > 0, np.log2(left[0] + left[1]), 0)
+                    cut_escape = np.where(left[1] > 0, np.log2(left[1]) - cut_bound, 0).astype(np.float32)
+                    cut_bound = cut_bound.astype(np.float32)
+                else:
+                    below[:] = -np.log2(257 - kinds[0])
+                for a in range(0, size, ROWS):
+                    cut = slice(a, a + ROWS)
+                    if d:  # behind an escape from the state
+                        seen = up_count[up[cut]]
+                        below[cut] = np.where(seen > 0, np.log2(seen) - cut_bound[cut, None], cut_escape[cut, None] + up_below[up[cut]])
+                    out[base[d] + a : min(base[d] + a + ROWS, base[d + 1])] = np.where(count[cut] > 0, np.log2(count[cut]) - bound[cut, None], escape[cut, None] + below[cut])
+        return out
 
     def score(self, symbols: np.ndarray, off: np.ndarray) -> np.ndarray:
         """log2 probability of each document of a marked stream: one row a document, one column a group."""
@@ -220,13 +252,9 @@ class Automaton:
         return np.add.reduceat(self._walk(symbols, self.logp), off[:-1], axis=0, dtype=np.float64)  # each document has its mark, so none is empty
 
     def sure(self, symbols: np.ndarray) -> np.ndarray:
-        """log2 probability of each symbol of a marked stream whose longest context is in the trie, and NaN for the others; one group."""
-        if not len(symbols):
-            return np.zeros(0, np.float32)
-        if self.whole is None:
-            whole = [np.full(len(k), d == self.order) | (d > 0) & (k >> 8 * max(0, d - 1) == MARK) for d, k in enumerate(self.trie.keys)]
-            self.whole = np.where(np.repeat(np.concatenate(whole), self.width), self.logp, np.float32(np.nan))
-        return self._walk(symbols, self.whole)
+        """log2 probability of each symbol of a marked stream whose longest context is in the trie, and NaN for the others;
+        of one group, and of an automaton made with whole_only."""
+        return self._walk(symbols, self.logp) if len(symbols) else np.zeros(0, np.float32)
 
     def behind(self, depth: np.ndarray, ctx: np.ndarray, sym: np.ndarray, rare: tuple) -> np.ndarray:
         """log2 probability of symbols sym behind contexts (depth, ctx), with the trie and rare contexts' entries (depth,
@@ -252,7 +280,8 @@ class Automaton:
         kept = new[trie.node] >= 0
         node = np.concatenate([new[trie.node[kept]], node])
         column = self.column[np.concatenate([trie.sym[kept], rare_sym.astype(np.uint8)])]
-        return self._code_lengths(node, column, np.concatenate([trie.n[kept], rare_n]), base, suffixes(keys, base))[at, self.column[sym]]
+        lengths = np.empty((int(base[-1]), self.width), np.float32)
+        return self._code_lengths(node, column, np.concatenate([trie.n[kept], rare_n]), base, suffixes(keys, base), lengths)[at, self.column[sym]]
 
     def _walk(self, symbols: np.ndarray, table_of: np.ndarray) -> np.ndarray:
         """What the table holds for each symbol of a marked stream."""

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from lamella.llm.encode import Encoder
+from lamella.llm.textkit import kept, tidy
 from lamella.workspace import Workspace
 
 SHARD_IDS, END_ID = 1 << 19, 0
@@ -168,18 +169,11 @@ class Shard:
 
 
 FILES = "part int, seq int, before long, ids long, docs long, content binary"
-_encoders: dict = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
 
 
 def _write(path: str, end_id: int, shard_ids: int):
     def run(batches):
-        model = encoder(path)
+        model = kept(path, lambda: Encoder(path))
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         held, docs, size = [], [], 0
 
@@ -209,7 +203,7 @@ def _write(path: str, end_id: int, shard_ids: int):
 def write_shards(docs: DataFrame, tokenizer: str, work: Workspace, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """The saved shards (FILES) of docs (doc_id, text), in ascending order of (part, seq)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return work.save(rows.mapInArrow(_write(tokenizer, end_id, shard_ids), FILES), "shards")
+    return work.save(rows.mapInArrow(tidy(_write(tokenizer, end_id, shard_ids)), FILES), "shards")
 
 
 def _read(batches):
@@ -231,7 +225,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
         total += n
     bases = F.broadcast(spark.createDataFrame(base, "part int, base long"))
     placed = shards.select("part", "before", "content").join(bases, "part").select("content", (F.col("base") + F.col("before")).alias("start"))
-    return placed.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(tidy(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_shards(docs: DataFrame, tokenizer: str | None = None, work: Workspace | None = None) -> DataFrame:

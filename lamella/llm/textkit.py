@@ -6,6 +6,10 @@ the longest one bounds the memory of a task (about 60 bytes for each of its byte
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from contextlib import suppress
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,6 +48,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
+_kept: list = []
+
+
+def kept(key, build):
+    """build(), made once in each Python worker for a key. A worker holds one such model at a time: workers live on from
+    stage to stage, and would hold those of all stages."""
+    if not _kept or _kept[0] != key:
+        _kept.clear()
+        _kept.extend([key, build()])
+    return _kept[1]
+
+
+def tidy(run):
+    """A function over batches that hands its freed memory back to the system at its end, as its worker lives on."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # not with every C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and the offset of each, and of the end; a null text is empty."""
     if isinstance(texts, pa.ChunkedArray):
