@@ -71,28 +71,62 @@ def test_near_duplicates(spark):
     assert near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def shared_runs(rows, n):
+    """Documents that share n words in a row with another one."""
+    own = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        for i in range(len(w) - n + 1):
+            own.setdefault(tuple(w[i : i + n]), set()).add(d)
+    return set().union(*(s for s in own.values() if len(s) > 1))
+
+
 def test_paragraphs(spark):
+    """A passage inside long lines, across lines, in short lines, changed here and there; what is shorter is left alone."""
     rng = random.Random(2)
-    line = lambda n: " ".join(words(rng, n, 10**6))
-    passage, pair, near = line(60), [line(30), line(25)], words(rng, 60, 10**6)
-    changed = list(near)
-    changed[0] = "other"
+    new = lambda n: words(rng, n, 10**6)
+    inside, wrapped, many, near, short = new(51), new(60), new(55), new(120), new(40)
+    changed = [f"x{i}" if i in (40, 80) else w for i, w in enumerate(near)]
     rows = [
-        (1, f"{line(40)}\n{passage}\n{line(9)}"),
-        (2, f"{passage}\n{line(70)}"),
-        (3, f"{line(12)}\n{pair[0]}\nx\n{pair[1]}"),
-        (4, f"{pair[0]}\n{pair[1]}\n{line(80)}"),
-        (5, " ".join(near)),
-        (6, f"{line(50)}\n" + " ".join(changed)),
-        (7, f"{line(100)}\n{line(8)}"),
-        (8, f"{(own := line(55))}\n{own}"),
-        (9, pair[0]),
-        (10, None),
-        (11, ""),
+        (1, " ".join(new(70) + inside + new(90))),
+        (2, " ".join(new(33) + inside + new(8))),
+        (3, " ".join(new(20) + wrapped + new(20))),
+        (4, "\n".join(" ".join(wrapped[i : i + 7]) for i in range(0, 60, 7))),
+        (5, "\n".join(" ".join(w).upper() for w in zip(many[0::3], many[1::3], many[2::3]))),
+        (6, " ".join(new(300) + many + new(1))),
+        (7, " ".join(near)),
+        (8, " ".join(new(50) + changed)),
+        (9, " ".join(new(60) + short + new(60))),
+        (10, " ".join(new(30) + short + new(80))),
+        (11, " ".join((own := new(80)) + own)),
+        (12, " ".join(new(49))),
+        (13, None),
+        (14, ""),
+        (15, "w " * 30_000),
+        (None, " ".join(inside)),
     ]
-    got = {(r.doc_id, r.line): r.removed for r in repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got == {(1, 1): False, (2, 0): True, (3, 1): False, (3, 3): False, (4, 0): True, (4, 1): True, (5, 0): False, (6, 1): True}
-    assert repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
+    rows += [(20 + k, " ".join(new(40 + 3 * k) + wrapped + new(60))) for k in range(20)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], DOCS + ", h int, cluster int, pos long")
+    got = {}
+    for r in repeated_passages(df).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.words, r.first_doc_id, r.removed))
+    assert set(got) == {1, 2, 3, 4, 5, 6, 7, 8} | {20 + k for k in range(20)} == shared_runs([r for r in rows if r[0] is not None], 45) | {7, 8}
+    for d, at, n, first in ((1, 70, 51, 1), (2, 33, 51, 1), (3, 20, 60, 3), (4, 0, 60, 3), (6, 300, 54, 5), (25, 55, 60, 3)):
+        [(start, length, of, removed)] = got[d]
+        assert at <= start <= at + 4 and at + n - 4 <= start + length <= at + n and of == first and removed == (d != first)
+    assert all(not r[3] for r in got[7]) and all(r[3] for r in got[8])
+    again = repeated_passages(spark.createDataFrame([(1, rows[0][1]), (1, rows[0][1]), (1, rows[1][1])], DOCS))
+    assert again.count() == 0 and repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_paragraph_query(spark):
+    """Every document that shares 50 words with another one is found; one that shares no 30 is not."""
+    from lamella.llm.paragraphs import op1_paragraph_dedup
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {r.doc_id for r in op1_paragraph_dedup(spark, sf).collect()}
+    assert shared_runs(rows, 50) <= got <= shared_runs(rows, 30) and got
 
 
 def test_wand_is_exact():
