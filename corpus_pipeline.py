@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.decontam import leaks
+from lamella.llm.decontam import leaked
 from lamella.llm.langid import UNKNOWN, fit, predict
 from lamella.llm.mixing import mix
 from lamella.llm.neardup import near_duplicates
@@ -45,9 +45,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    rows = _numbered(spark, docs, "clean")
-    found = leaks(rows.select(F.col("row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return rows.join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select(*COLUMNS)
+    held = leaked(F.col("text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.select(*COLUMNS, held.alias("leaked")).where("NOT leaked").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,15 +18,17 @@ ignored. An item with fewer words than a shingle is one shingle.
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.textkit import Words, column_bytes, pieces, shingles
+from lamella.llm.textkit import Words, column_bytes, pieces, shingles, tidy
 
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
 K1, B = 1.2, 0.75
@@ -58,6 +60,17 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, text)
 
 
+@dataclass
+class Whole:
+    """Of all items: how many there are, their mean and greatest length, and how many items hold each of the (sorted) terms."""
+
+    items: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
 @dataclass
 class Index:
     """Items as numbers; the postings of term k are items[at[k]:at[k+1]] with their weights."""
@@ -75,9 +88,8 @@ class Index:
     window: int
 
     @staticmethod
-    def build(rows: list, threshold: float = THRESHOLD) -> Index | None:
-        """rows: (item_id, text)"""
-        rows = [r for r in rows if r[1] and r[1].strip()]
+    def build(rows: list, threshold: float = THRESHOLD, whole: Whole | None = None) -> Index | None:
+        """rows: (item_id, text); whole: the statistics of all items, if rows are a part of them."""
         words = _hashes([r[1] for r in rows])
         pairs = [(r, w) for r, w in zip(rows, words) if len(w)]
         if not pairs:
@@ -89,8 +101,10 @@ class Index:
         item = np.repeat(np.arange(len(rows)), [len(t) for t, _ in counted])
         tf = np.concatenate([c for _, c in counted]).astype(float)
         terms, term, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log1p((len(rows) - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (length / length.mean())[item]))
+        whole = whole or Whole(len(rows), length.mean(), int(length.max()), terms, df)
+        every = whole.df[np.searchsorted(whole.terms, terms)]
+        idf = np.log1p((whole.items - every + 0.5) / (every + 0.5))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (length / whole.mean)[item]))
         weight /= np.bincount(item, weight, len(rows))[item]
         order = np.lexsort((item, term))
         at = np.searchsorted(term[order], np.arange(len(terms) + 1))
@@ -103,7 +117,7 @@ class Index:
                 essential[k] = False
         halves = [question_and_answer(r[1]) for r in rows]
         grams = [[_asked(h) for h in _hashes([x[i] for x in halves])] for i in (0, 1)]
-        return Index(np.array([r[0] for r in rows]), terms, at, items, weights, essential, common, *grams, [_asked(w) for w in words], max(64, 2 * int(length.max())))
+        return Index(np.array([r[0] for r in rows]), terms, at, items, weights, essential, common, *grams, [_asked(w) for w in words], max(64, 2 * whole.longest))
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Term numbers, -1 for other words."""
@@ -187,42 +201,48 @@ def _candidates(index: Index, terms: np.ndarray, half: np.ndarray, last: np.ndar
     after = np.minimum(np.searchsorted(keys, keys + n_items), len(keys) - 1)
     here = keys // n_items
     total = weight + np.where((keys[after] == keys + n_items) & ~last[here], weight[after], 0)
-    return np.unique(here[total >= threshold - 1e-9 - index.common[keys % n_items]])
+    found = np.unique(here[total >= threshold - 1e-9 - index.common[keys % n_items]])
+    before = found[found > 0] - 1  # an item may begin in the half before with words that are no essential terms
+    return np.union1d(found, before[~last[before]])
+
+
+def _best(index: Index, buf: np.ndarray, off: np.ndarray, threshold: float, overlap: float) -> dict:
+    """(document, item): (overlap, score, passage, question overlap, answer overlap) at the best passage of some documents."""
+    size, best = index.window // 2, {}
+    words = Words(buf, off)
+    hashes, doc = words.hashes(), words.doc()
+    if not len(hashes):
+        return best
+    terms = index.lookup(hashes)
+    halves = -(-np.diff(words.first) // size)
+    begin = np.concatenate([[0], np.cumsum(halves)])
+    within = (np.arange(len(hashes)) - words.first[doc]) // size
+    last = np.zeros(begin[-1], bool)
+    last[begin[1:][halves > 0] - 1] = True
+    for h in _candidates(index, terms, begin[doc] + within, last, threshold):
+        d = int(np.searchsorted(begin, h, "right") - 1)
+        lo = int(words.first[d] + (h - begin[d]) * size)
+        hi = min(lo + index.window, int(words.first[d + 1]))
+        asked = np.unique(terms[lo:hi])
+        found = index.wand(asked[asked >= 0], threshold)
+        held: dict = {}
+        for item, score in found:
+            q, x, both = (_held(hashes[lo:hi], held, *part[item]) for part in (index.question, index.answer, index.whole))
+            if both >= overlap or min(q, x) >= overlap:
+                row = (both, score, lo - int(words.first[d]), q, x)
+                best[d, item] = max(best.get((d, item), row), row)
+    return best
 
 
 def _scan(shared, threshold: float, overlap: float):
+    @tidy
     def run(batches):
         index = shared.value
-        size = index.window // 2
         for batch in batches:
             buf, off = column_bytes(batch.column(1))
             ids = batch.column(0)
             for a, b in pieces(off):
-                words = Words(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-                hashes, doc = words.hashes(), words.doc()
-                if not len(hashes):
-                    continue
-                terms = index.lookup(hashes)
-                halves = -(-np.diff(words.first) // size)
-                begin = np.concatenate([[0], np.cumsum(halves)])
-                within = (np.arange(len(hashes)) - words.first[doc]) // size
-                last = np.zeros(begin[-1], bool)
-                last[begin[1:][halves > 0] - 1] = True
-                best: dict = {}
-                for h in _candidates(index, terms, begin[doc] + within, last, threshold):
-                    d = int(np.searchsorted(begin, h, "right") - 1)
-                    lo = int(words.first[d] + (h - begin[d]) * size)
-                    hi = min(lo + index.window, int(words.first[d + 1]))
-                    asked = np.unique(terms[lo:hi])
-                    found = index.wand(asked[asked >= 0], threshold)
-                    if not found:
-                        continue
-                    held: dict = {}
-                    for item, score in found:
-                        q, x, both = (_held(hashes[lo:hi], held, *part[item]) for part in (index.question, index.answer, index.whole))
-                        if both >= overlap or min(q, x) >= overlap:
-                            row = (both, score, lo - int(words.first[d]), q, x)
-                            best[d, item] = max(best.get((d, item), row), row)
+                best = _best(index, buf[off[a] : off[b]], off[a : b + 1] - off[a], threshold, overlap)
                 if best:
                     keys, rows = list(best), list(best.values())
                     yield pa.RecordBatch.from_arrays(
@@ -238,20 +258,67 @@ def _scan(shared, threshold: float, overlap: float):
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """LEAKS rows: each document (doc_id, text) with each item (item_id, text) that it holds, at its best passage."""
-    spark = docs.sparkSession
+def _terms(batches):
+    """(item, term, words) for each distinct term of items (item, text), whose number of words is on each row."""
+    for batch in batches:
+        for key, words in zip(batch.column(0).to_pylist(), _hashes(batch.column(1).to_pylist())):
+            own = np.unique(words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key)), pa.array(own), pa.array(np.full(len(own), len(words)))], names=["part", "term", "words"])
+
+
+def _indexes(items: DataFrame, threshold: float, shard_bytes: int):
+    """The broadcast index of each shard of the items; their statistics are those of all items, so that a score is the
+    same however many shards there are."""
+    spark = items.sparkSession
     items = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-size // (SHARD_BYTES // 2)))
-    out = None
+    shards = max(1, -(-size // (shard_bytes // 2)))
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    terms = items.select("part", "text").mapInArrow(_terms, "part long, term long, words long") if shards > 1 else None
+    if terms is not None:
+        words = items.select(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n")).where("n > 0")
+        n, mean, longest = words.agg(F.count("*"), F.avg("n"), F.max("n")).first()
+        df = terms.groupBy("term").agg(F.count("*").alias("df"))
     for k in range(shards):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).orderBy("item_id", "text").collect()
-        index = Index.build([(r.item_id, r.text) for r in own], threshold)
+        own = items.where(F.col("part") == k).orderBy("item_id", "text").collect()
+        whole = None
+        if terms is not None and n:
+            held = df.join(terms.where(F.col("part") == k).select("term").distinct(), "term", "left_semi").toArrow()
+            order = np.argsort(key := held["term"].to_numpy().view(np.uint64))
+            whole = Whole(n, mean, longest, key[order], held["df"].to_numpy()[order])
+        index = Index.build([(r.item_id, r.text) for r in own], threshold, whole)
         if index is not None:
-            found = docs.select("doc_id", "text").mapInArrow(_scan(spark.sparkContext.broadcast(index), threshold, overlap), LEAKS)
-            out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], LEAKS)
+            yield spark.sparkContext.broadcast(index)
+
+
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """LEAKS rows: each document (doc_id, text) with each item (item_id, text) that it holds, at its best passage."""
+    out = None
+    for index in _indexes(items, threshold, shard_bytes):
+        found = docs.select("doc_id", "text").mapInArrow(_scan(index, threshold, overlap), LEAKS)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else docs.sparkSession.createDataFrame([], LEAKS)
+
+
+def leaked(text: Column, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES) -> Column:
+    """Whether a text holds any of the items (item_id, text); the row's other columns don't go to Python."""
+
+    def flag(index) -> Column:
+        @tidy
+        def run(batches):
+            for texts in batches:
+                buf, off = column_bytes(texts)
+                out = np.zeros(len(texts), bool)
+                for a, b in pieces(off):
+                    out[[a + d for d, _ in _best(index.value, buf[off[a] : off[b]], off[a : b + 1] - off[a], threshold, overlap)]] = True
+                yield pa.array(out)
+
+        def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            return run(texts)
+
+        return F.arrow_udf(found, "boolean").asNondeterministic()(F.coalesce(text, F.lit("")))
+
+    return functools.reduce(Column.__or__, map(flag, _indexes(items, threshold, shard_bytes)), F.lit(False))
 
 
 def op6_decontaminate_wand(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,9 @@ from lamella.workspace import Workspace
 def shared_buckets(members: DataFrame, work: Workspace) -> DataFrame:
     """The saved (key, id, size) of those (key, id) rows, without repeated ones, whose key has several; size: how many."""
     shared = work.save(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-    return work.save(members.join(shared, "key"), "buckets")
+    out = work.save(members.join(shared, "key"), "buckets")
+    work.drop(shared)
+    return out
 
 
 def _is_star(edges: DataFrame) -> bool:

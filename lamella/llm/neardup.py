@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm import graph
-from lamella.llm.textkit import Words, column_bytes, distinct_sets, mix64, pieces, shingles
+from lamella.llm.textkit import Words, column_bytes, distinct_sets, mix64, pieces, shingles, tidy
 from lamella.workspace import Workspace
 
 CHUNKS, CHUNK = 12, 5
@@ -136,7 +136,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of pairs whose full sets, saved (id, members), are similar enough."""
     left, right = sets.select(F.col("id").alias("a"), F.col("members").alias("x")), sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_confirm(percent), "a long, b long")
+    return both.mapInArrow(tidy(_confirm(percent)), "a long, b long")
 
 
 #: 64-bit words of a set's bitmap.
@@ -169,31 +169,41 @@ def bucket_components(members: DataFrame, close, sets_of, percent: int, work: Wo
     compared, whatever their number; pairs of one component need no look. Of these, only the pairs go on whose sets can
     be similar: an intersection is no larger than what the sets' bitmaps have in common, plus the values that a bitmap
     lost to collisions. That tells apart the many copies of one text that are too far from each other."""
-    members = graph.shared_buckets(members, work)
-    sets = sets_of(work.save(members.select("id").distinct(), "ids"))
-    weight = work.save(members.groupBy("id").agg(F.sum("size").alias("weight")), "weight")
-    members = work.save(members.join(weight, "id").select("key", "id", "weight"), "members")
+    buckets = graph.shared_buckets(members, work)
+    ids = work.save(buckets.select("id").distinct(), "ids")
+    sets = sets_of(ids)
+    weight = work.save(buckets.groupBy("id").agg(F.sum("size").alias("weight")), "weight")
+    members = work.save(buckets.join(weight, "id").select("key", "id", "weight"), "members")
+    work.drop(buckets, ids, weight)
     work.tidy()
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = work.save(pairs.select(F.greatest("id", "stray").alias("a"), F.least("id", "stray").alias("b")).distinct(), "pairs")
-        return work.save(confirm(work.save(close(pairs), "close") if close else pairs, sets, percent), "links")
+        near = work.save(close(pairs), "close") if close else pairs
+        out = work.save(confirm(near, sets, percent), "links")
+        work.drop(pairs, near if close else None)
+        return out
 
     first = work.save(members.groupBy("key").agg(F.max_by("id", "weight").alias("stray")), "first")
     links = linked(members.join(first, "key").where("id <> stray"))
     found = graph.components(links, work)
     now = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     now = work.save(now, "now")
+    work.drop(first, links, members)
     sizes = now.groupBy("key", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max_by("component", "size").alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = work.save(now.join(work.save(main.select("key", "main"), "main"), "key"), "open")
+    main = work.save(main.select("key", "main"), "main")
+    several = work.save(now.join(main, "key"), "open")
+    work.drop(now, main)
     work.tidy()
     shape = "id long, n long, lost long, " + ", ".join(f"{w} long" for w in _BITS)
-    facts = sets.join(open_.select("id").distinct(), "id", "left_semi").mapInArrow(_bitmaps, shape)
+    facts = sets.join(several.select("id").distinct(), "id", "left_semi").mapInArrow(tidy(_bitmaps), shape)
     named = [] if keys is None else [c for c in keys.columns if c != "id"]
     if named:
         facts = facts.join(keys, "id")
-    open_ = work.save(open_.join(work.save(facts, "facts"), "id"), "open")
+    facts = work.save(facts, "facts")
+    open_ = work.save(several.join(facts, "id"), "open")
+    work.drop(several, facts)
     renamed = {"id": "stray", "component": "own", "n": "stray_n", "lost": "stray_lost"} | {c: f"s_{c}" for c in [*_BITS, *named]}
     strays = work.save(open_.where("component <> main").drop("main").withColumnsRenamed(renamed), "strays")
     common = " + ".join(f"bit_count({w} & s_{w})" for w in _BITS)
@@ -204,7 +214,7 @@ def bucket_components(members: DataFrame, close, sets_of, percent: int, work: Wo
     more = linked(cross)
     if more.limit(1).count():  # the stars found so far stand for the links that made them
         found = graph.components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), work)
-    work.drop(sets, open_, strays)
+    work.drop(sets, open_, strays, more)
     return found
 
 
@@ -212,7 +222,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, work: Workspace | N
     """doc_id, n_shingles, component_id, kept of docs (doc_id, text)."""
     work = work or Workspace(docs.sparkSession, "neardup")
     docs = docs.select("doc_id", "text")
-    signed = work.save(docs.mapInArrow(_sign, SIGNED), "signed")
+    signed = work.save(docs.mapInArrow(tidy(_sign), SIGNED), "signed")
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "h1", "h2")
     classes = work.save(classes.agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig")), "classes")
     # smaller sets are similar enough only if they are equal
@@ -225,11 +235,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, work: Workspace | N
 
     def sets_of(ids: DataFrame) -> DataFrame:
         ids = ids.withColumnRenamed("id", "doc_id")
-        return work.save(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, members binary"), "sets")
+        return work.save(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tidy(_sets), "id long, members binary"), "sets")
 
-    found = bucket_components(signs.select("id", "sig").mapInArrow(_index, "key long, id long"), close, sets_of, percent, work)
+    found = bucket_components(signs.select("id", "sig").mapInArrow(tidy(_index), "key long, id long"), close, sets_of, percent, work)
     named = classes.join(found.withColumnRenamed("node", "id"), "id", "left")
     named = work.save(named.select("n_shingles", "h1", "h2", F.coalesce("component", "id").alias("component")), "named")
+    work.drop(classes)
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(named, ["n_shingles", "h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
