@@ -41,7 +41,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        # a text that may hold a special token's string goes to the library whole, which knows what becomes of it
+        special = sorted({t.content.encode() for t in self.library.get_added_tokens_decoder().values()})
+        self.special = re.compile(b"|".join(map(re.escape, special))) if special else None
         vocabulary = self.library.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.bytes_of = np.zeros(self.size, np.int64)  # a token is written with one character for each byte
@@ -68,7 +70,10 @@ class Encoder:
             raw, n = buf.tobytes(), len(off) - 1
             strange = {int(np.searchsorted(off, m.start(), "right")) - 1 for m in _STRANGE.finditer(raw)}
         else:
-            strange = set()
+            raw, n, strange = b"", len(off) - 1, set()
+        if self.special:
+            raw = raw or buf.tobytes()
+            strange |= {int(np.searchsorted(off, m.start(), "right")) - 1 for m in self.special.finditer(raw)}
         if strange:
             whole = sorted(strange)
             found = dict(zip(whole, self._library([raw[off[d] : off[d + 1]].decode() for d in whole])))

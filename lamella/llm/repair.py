@@ -8,7 +8,7 @@ Spark's commit protocol on whatever store the workspace is, with the number of i
 
 Layout, little-endian: magic `RPR1`; u32 terminals, rules, documents, symbols, ids; i64 doc_id of each document and a
 byte each that is 1 where it is null; u32 number of symbols of each document; u32 number of ids of each document; for
-each rule u32 left, u32 right, u32 expansion length; the symbols, u16 if terminals + rules <= 65536, else u32 (there are rules only in the first case).
+each rule u32 left, u32 right, u32 expansion length; the symbols, u16 if terminals + rules <= 65536, else u32.
 Expansion lengths and document starts let `read_document` and `read_ids` decode a part of a shard alone.
 
 Defined results: a null or empty text is the end id alone; rows with a null doc_id come first; repeated doc_ids are
@@ -31,47 +31,46 @@ from lamella.llm.textkit import kept, tidy
 from lamella.workspace import Workspace
 
 SHARD_IDS, END_ID = 1 << 19, 0
-ROUNDS, PER_ROUND, LEAST_USES = 3, 4096, 8
+PER_ROUND, LEAST_USES = 4096, 8
 MAGIC = b"RPR1"
 _HEAD = struct.Struct("<4s5I")
 
 
-def repair(ids: np.ndarray, terminals: int, end_id: int = END_ID, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and rules (left, right) whose expansion is ids; without rules for more than 65536 terminals."""
-    if terminals > 65536:
-        return ids.astype(np.uint32), np.zeros((0, 2), np.int64)
-    s, rules = ids.astype(np.uint32), np.zeros((0, 2), np.int64)
-    for _ in range(rounds):
-        most = min(per_round, 65536 - terminals - len(rules))  # a pair is 32 bits, a symbol 16
-        if len(s) < 2 or most <= 0:
-            break
-        code = s[:-1] << np.uint32(16) | s[1:]
-        free = (s[:-1] != end_id) & (s[1:] != end_id)
-        slot = (code * np.uint32(0x9E3779B1)) >> np.uint32(12)
-        in_slot = np.bincount(slot[free], minlength=1 << 20)
+def _slot(code: np.ndarray) -> np.ndarray:
+    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
+def repair(ids: np.ndarray, terminals: int, end_id: int = END_ID, per_round: int = PER_ROUND) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and rules (left, right) whose expansion is ids: round after round, until no pair is used LEAST_USES times."""
+    s, rules = ids.astype(np.uint32), [np.zeros((0, 2), np.int64)]
+    made = 0
+    while len(s) > 1:
+        code = s[:-1].astype(np.uint64) << np.uint64(32) | s[1:]
+        free = np.flatnonzero((s[:-1] != end_id) & (s[1:] != end_id))
+        slot = _slot(code[free])
+        in_slot = np.bincount(slot, minlength=1 << 20)
         full = in_slot[in_slot >= LEAST_USES]
-        often = in_slot >= (np.partition(full, -2 * most)[-2 * most] if len(full) > 2 * most else LEAST_USES)
-        at = np.flatnonzero(free & often[slot])  # exact counts, for these only
+        often = in_slot >= (np.partition(full, -2 * per_round)[-2 * per_round] if len(full) > 2 * per_round else LEAST_USES)
+        some = often[slot]  # exact counts, for these only
+        at, slot = free[some], slot[some]
         code = code[at]
         pair, uses = np.unique(code, return_counts=True)
-        top = np.lexsort((pair, -uses))[:most]
+        top = np.lexsort((pair, -uses))[:per_round]
         top = top[uses[top] >= LEAST_USES]
         if not len(top):
             break
-        top = top[::-1]  # where two share a slot, the more frequent one comes last and stays
-        at_slot, rank_at = np.full(1 << 20, -1, np.int32), np.arange(len(top), dtype=np.int32)[::-1]
-        own = (pair[top] * np.uint32(0x9E3779B1)) >> np.uint32(12)
-        at_slot[own] = np.arange(len(top))
-        where = at_slot[slot[at]]
-        hit = np.flatnonzero(where >= 0)
-        hit = hit[pair[top][where[hit]] == code[hit]]
-        at, rank = at[hit], rank_at[where[hit]]
-        top = top[::-1]
+        # where two share a slot, the more frequent one comes last and stays; the other one has a later round
+        at_slot = np.full(1 << 20, -1, np.int64)
+        at_slot[_slot(pair[top[::-1]])] = np.arange(len(top))[::-1]
+        rank = at_slot[slot]
+        hit = np.flatnonzero(rank >= 0)
+        hit = hit[pair[top][rank[hit]] == code[hit]]
+        at, rank = at[hit], rank[hit]
         take = np.zeros(len(at), bool)
         open_ = np.ones(len(at), bool)
         touch = at[1:] == at[:-1] + 1
         for _ in range(2):  # an occurrence wins over overlapping ones of rarer pairs; of equal ones the left one wins
-            value = np.where(open_, rank, np.int32(1 << 30))
+            value = np.where(open_, rank, 1 << 30)
             win = open_.copy()
             win[1:] &= ~touch | (value[1:] < value[:-1])
             win[:-1] &= ~touch | (value[:-1] <= value[1:])
@@ -79,15 +78,20 @@ def repair(ids: np.ndarray, terminals: int, end_id: int = END_ID, rounds: int =
             open_ &= ~win
             open_[1:][touch & win[:-1]] = False
             open_[:-1][touch & win[1:]] = False
-        used = np.bincount(rank[take], minlength=len(top)) > 0
-        made, new = pair[top][used].astype(np.int64), (np.cumsum(used) - 1)[rank[take]]
+        uses = np.bincount(rank[take], minlength=len(top))
+        worth = uses > 1  # a rule takes as much as it saves if used once
+        if not worth.any():
+            break
+        take &= worth[rank]
+        chosen, new = pair[top][worth], (np.cumsum(worth) - 1)[rank[take]]
         first = at[take]
-        s[first] = terminals + len(rules) + new
+        s[first] = terminals + made + new
         keep = np.ones(len(s), bool)
         keep[first + 1] = False
         s = s[keep]
-        rules = np.concatenate([rules, np.stack([made >> 16, made & 0xFFFF], 1)])
-    return s, rules
+        made += len(chosen)
+        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.int64))
+    return s, np.concatenate(rules)
 
 
 def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
@@ -202,7 +206,8 @@ def _write(path: str, end_id: int, shard_ids: int):
 
 def write_shards(docs: DataFrame, tokenizer: str, work: Workspace, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """The saved shards (FILES) of docs (doc_id, text), in ascending order of (part, seq)."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     return work.save(rows.mapInArrow(tidy(_write(tokenizer, end_id, shard_ids)), FILES), "shards")
 
 

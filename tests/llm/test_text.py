@@ -145,8 +145,7 @@ def test_token_shards(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(str(path))
-    library.encode_special_tokens = True
-    texts = ["it's  a\n\n test 's x's 've", "日本語 text  \n", " x ", "½ ² µ é'é", "<|endoftext|> x", "12 34a5é9\t\t.", "don't", None, "", "the same", "the same"]
+    texts = ["it's  a\n\n test 's x's 've", "日本語 text  \n", " x ", "½ ² µ é'é", "<|endoftext|> x", "a<|endoftext|>", "12 34a5é9\t\t.", "don't", None, "", "the same", "the same"]
     rows = [(100 - i if i != 3 else None, t) for i, t in enumerate(texts)]
     got = sorted(repair.token_shards(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r.start)
     rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
