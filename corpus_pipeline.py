@@ -6,6 +6,7 @@ folder and reads them again as the next one's docs. All but the last return the
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +50,19 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.select(*COLUMNS, held.alias("leaked")).where("NOT leaked").select(*COLUMNS)
 
 
+def _placed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of docs with (file, place), which tell them apart: where Parquet files hold them, without a copy."""
+    try:
+        return docs.select(*COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    except AnalysisException:  # not straight from files
+        return _numbered(spark, docs, "mixture").withColumnRenamed("row", "place").withColumn("file", F.lit(""))
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    rows = _numbered(spark, docs, "mixture")
-    copies = mix(rows, keep=["row"]).where("copies > 0").select("row", "copies")
-    taken = rows.join(copies, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    rows = _placed(spark, docs)
+    copies = mix(rows, keep=["file", "place"]).where("copies > 0").select("file", "place", "copies")
+    taken = rows.join(copies, ["file", "place"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return taken.select(*COLUMNS)
 
 
