@@ -1,4 +1,4 @@
-"""Operator 7, chat formatting: sorted turn structs, merged by array functions, in Spark expressions only.
+"""Operator 7, chat formatting: sorted turn structs, merged by an array aggregate, in Spark expressions only.
 
 Template, for each run of adjacent turns of one role::
 
@@ -15,7 +15,7 @@ columns are ignored. A conversation becomes one value, so it must fit into memor
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, TURN, MORE, END = "<s>", "[TURN]", "[MORE]", "</s>"
@@ -40,25 +40,24 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    opens = F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True))
-    closes = F.coalesce(F.lead("role").over(order) != F.col("role"), F.lit(True))
-    rows = rows.withColumns({"n": F.row_number().over(order), "opens": opens, "closes": closes, "body": escape(F.col("text"))})
-    rows = rows.withColumns(
-        {
-            "head": F.when(F.col("opens"), F.concat(F.lit(START), escape(F.col("role")), F.lit(TURN))).otherwise(MORE),
-            "tail": F.when(F.col("closes"), F.lit(END)).otherwise(""),
-        }
-    )
-    size = F.length("head") + F.length("body") + F.length("tail")
-    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("start", (before + F.length("head")).cast("long"))
-    packed = F.struct("n", "role", F.concat("head", "body", "tail").alias("piece"), "start", F.length("body").cast("long").alias("length"))
-    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(packed)).alias("turns"))
-    masked = F.filter("turns", lambda t: t.role == loss_role)
+    said = F.struct("turn", "role", "text", escape(F.col("role")).alias("tag"), escape(F.col("text")).alias("body"))
+    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(said)).alias("turns"))
+
+    def merged(state: Column, t: Column) -> Column:
+        """The state behind a turn: one of the same role goes on in the open run, another one closes it and opens its own."""
+        same = F.coalesce(state.role == t.role, F.lit(False))
+        opens = F.concat(F.when(state.role.isNull(), "").otherwise(END), F.lit(START), t.tag, F.lit(TURN))
+        head = F.when(same, MORE).otherwise(opens)
+        start, length = state.at + F.length(head), F.length(t.body).cast("long")
+        piece = F.struct(t.role.alias("role"), F.concat(head, t.body).alias("piece"), start.cast("long").alias("start"), length.alias("length"))
+        return F.struct(F.array_append(state.out, piece).alias("out"), (start + length).cast("long").alias("at"), t.role.alias("role"))
+
+    nothing = F.expr("named_struct('out', CAST(array() AS array<struct<role: string, piece: string, start: bigint, length: bigint>>), 'at', 0L, 'role', CAST(NULL AS string))")
+    convs = convs.select("conv_id", F.aggregate("turns", nothing, merged, lambda state: state.out).alias("said"))
+    masked = F.filter("said", lambda t: t.role == loss_role)
     return convs.select(
         "conv_id",
-        F.array_join(F.transform("turns", lambda t: t.piece), "").alias("formatted"),
+        F.concat(F.array_join(F.transform("said", lambda t: t.piece), ""), F.lit(END)).alias("formatted"),
         F.transform(masked, lambda t: F.struct(t.start.alias("start"), t.length.alias("length"))).alias("loss_spans"),
     )
 
