@@ -16,7 +16,7 @@ the probes are doubled and the search is repeated, at last in all shards and wit
 that is under FAILED even then is an error. Vectors of each length are searched among themselves, one length at a time.
 
 Defined results: a vector that is null, zero, or with null or non-finite components links with nothing, and neither do
-vectors of different lengths; equal vectors link with each other; repeated ids are rows of one id; an empty table
+vectors of different lengths; components whose squares a double can't hold are no obstacle; equal vectors link with each other; repeated ids are rows of one id; an empty table
 gives no rows; further columns are ignored.
 """
 
@@ -326,8 +326,11 @@ def similar_vectors(table: DataFrame, least: float = LEAST_COSINE, work: Workspa
     rows = table.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-    usable = fine & F.coalesce((norm > 0) & (norm < float("inf")), F.lit(False)) & F.col("vec_id").isNotNull()
-    keyed = F.transform("embedding", lambda x: x + F.lit(0.0))  # -0.0 is 0.0
+    most = F.array_max(F.transform("embedding", lambda x: F.abs(x)))
+    usable = fine & F.coalesce(most > 0, F.lit(False)) & F.col("vec_id").isNotNull()
+    # squares that are too large or too small for a double: such a vector is brought to a largest component of 1
+    scale = F.when((norm > 1e-200) & (norm < 1e200), 1.0).otherwise(most)
+    keyed = F.transform("embedding", lambda x: x / scale + F.lit(0.0))  # -0.0 is 0.0
     rows = work.save(rows.select("vec_id", usable.alias("usable"), F.when(usable, keyed).alias("embedding")).withColumn("hash", F.sha2(F.to_json(F.struct("embedding")).cast("binary"), 256)), "rows")
     classes = rows.where("usable").groupBy("hash").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     classes = work.save(classes.withColumn("width", F.size("embedding")), "classes")

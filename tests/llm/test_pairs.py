@@ -190,6 +190,9 @@ def test_vectors(spark):
     assert got[131] == (near[131].sum() - 1, 5, False) and got[100][2]
     assert all(got[1000 + i] == (0, 1000 + i, True) for i in range(len(odd)))
     assert similar_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>"))[0].count() == 0
+    large = [(1, [1e200, 0.0]), (2, [1e200, 1e190]), (3, [2.0, 0.0]), (4, [1e-200, 0.0]), (5, [0.0, 1e-300]), (5, [0.0, 1.0])]
+    found = similar_vectors(spark.createDataFrame(large, "vec_id long, embedding array<double>"))[0].collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 1, 5), (5, 1, 5)]
 
 
 def test_vectors_spread_over_shards(spark, monkeypatch):
