@@ -31,7 +31,7 @@ from lamella.llm.textkit import kept, tidy
 from lamella.workspace import Workspace
 
 SHARD_IDS, END_ID = 1 << 19, 0
-PER_ROUND, LEAST_USES = 4096, 8
+PER_ROUND, LEAST_USES, LEAST_GAIN = 4096, 8, 0.01
 MAGIC = b"RPR1"
 _HEAD = struct.Struct("<4s5I")
 
@@ -41,10 +41,12 @@ def _slot(code: np.ndarray) -> np.ndarray:
 
 
 def repair(ids: np.ndarray, terminals: int, end_id: int = END_ID, per_round: int = PER_ROUND) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and rules (left, right) whose expansion is ids: round after round, until no pair is used LEAST_USES times."""
+    """Symbols and rules (left, right) whose expansion is ids: round after round, until no pair is used LEAST_USES times or
+    a round takes away less than LEAST_GAIN of the symbols."""
     s, rules = ids.astype(np.uint32), [np.zeros((0, 2), np.int64)]
     made = 0
     while len(s) > 1:
+        before = len(s)
         code = s[:-1].astype(np.uint64) << np.uint64(32) | s[1:]
         free = np.flatnonzero((s[:-1] != end_id) & (s[1:] != end_id))
         slot = _slot(code[free])
@@ -91,6 +93,8 @@ def repair(ids: np.ndarray, terminals: int, end_id: int = END_ID, per_round: int
         s = s[keep]
         made += len(chosen)
         rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.int64))
+        if before - len(s) < LEAST_GAIN * before:
+            break
     return s, np.concatenate(rules)
 
 
