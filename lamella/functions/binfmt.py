@@ -9,13 +9,14 @@ from dataclasses import dataclass, field
 def number(data: bytes, at: int, kind: str):
     """A little-endian number, or None beyond the end."""
     size = struct.calcsize("<" + kind)
-    return struct.unpack_from("<" + kind, data, at)[0] if 0 <= at <= len(data) - size else None
+    return struct.unpack("<" + kind, data[at : at + size])[0] if 0 <= at <= len(data) - size else None
 
 
-# Tags of the tagged container, and their types' flags.
+# Tags of the tagged container, their types' flags, and the types of values that are read.
 IMAGE_FRAME, EXTERNAL_FILES, STACK_NAME, BOUNDARY, SCALE, DOCUMENT, SLIDE = 2002, 2018, 2030, 2053, 2019, 2109, 2062
-EXTRA_TAG, EXTENDED, INLINE = 1 << 27, 1 << 28, 1 << 30
-UTF16_TYPES = (8192,)
+EXTRA_TAG, EXTENDED, INLINE, KIND = 1 << 27, 1 << 28, 1 << 30, 0xFFFFFF
+VOLUMES, NESTED = 0, (1, 2)
+LATIN_TEXT, UTF16_TEXT, RECTANGLES, PAIR = 13, 8192, (256, 257, 258, 259), 260
 
 
 @dataclass
@@ -43,62 +44,88 @@ def tag_tree(data: bytes, start: int = 8) -> tuple[list[Pyramid], list[tuple[int
     return walk.pyramids, walk.fields
 
 
-def _container(walk: _Walk, at: int, depth: int) -> None:
-    offset, flags = number(walk.data, at + 8, "q"), number(walk.data, at + 16, "I")
-    if offset is None or flags is None or depth > 16:
-        return
-    place, count = at + offset, flags & 0xFFFFFFF
+def _container(walk: _Walk, at: int, depth: int) -> int:
+    """Walks the container at a place and gives the place behind it, where a sibling may begin."""
+    data, total = walk.data, len(walk.data)
+    if at + 24 >= total or depth > 64:
+        return at
+    place, count = at + number(data, at + 8, "q"), number(data, at + 16, "I") & 0xFFFFFFF
+    if place < 0:
+        return at
     for _ in range(count):
-        kind, tag, following, size = (number(walk.data, place + d, k) for d, k in ((0, "I"), (4, "i"), (8, "I"), (12, "i")))
-        if None in (kind, tag, following, size) or tag < 0:
-            return
-        body = place + 16 + (4 if kind & EXTRA_TAG else 0)
+        if place + 16 >= total:
+            break
+        kind, tag, following, size = struct.unpack("<IiIi", data[place : place + 16])
+        body, size = place + 16 + (4 if kind & EXTRA_TAG else 0), max(size, 0)
+        if tag < 0:
+            return body
         walk.fields.append((depth, tag, body, size))
         if tag == EXTERNAL_FILES and walk.before == IMAGE_FRAME:
-            walk.pyramids.append(Pyramid())
-            walk.current = len(walk.pyramids) - 1
+            walk.current += 1
+            if walk.current == len(walk.pyramids):
+                walk.pyramids.append(Pyramid())
         elif tag in (DOCUMENT, SLIDE):
             walk.current = -1
         walk.before = tag
-        if kind & EXTENDED and not kind & INLINE:
+        nested = kind & KIND if kind & EXTENDED else None
+        if nested == VOLUMES:
+            inner, end = body, min(body + size, total)
+            while inner < end and (after := _container(walk, inner, depth + 1)) > inner:
+                inner = after
+        elif nested in NESTED:
             _container(walk, body, depth + 1)
-        elif 0 <= walk.current:
-            _capture(walk, tag, kind & 0xFFFFFF, body, size)
-        if not following:
-            return
+        elif walk.current >= 0 and not kind & INLINE and size:
+            _capture(walk.pyramids[walk.current], tag, kind & KIND, data[body : body + size])
+        if not following:  # the container's last field; its size tells where the container ends
+            return at + size + 32 if at + size + 32 < total else place
+        if at + following >= total:
+            break
         place = at + following
+    return place
 
 
-def _capture(walk: _Walk, tag: int, kind: int, body: int, size: int) -> None:
-    """The first value of a pyramid stays."""
-    p, raw = walk.pyramids[walk.current], walk.data[body : body + max(size, 0)]
-    if tag == STACK_NAME and p.name is None:
-        text = raw.decode("utf-16-le" if kind in UTF16_TYPES else "latin-1", "replace").split("\0")[0].strip()
+def _capture(p: Pyramid, tag: int, kind: int, raw: bytes) -> None:
+    """A value of the type that its tag has; the first one of a pyramid stays."""
+    if tag == STACK_NAME and kind in (LATIN_TEXT, UTF16_TEXT) and p.name is None:
+        text = raw[: len(raw) // 2 * 2].decode("utf-16-le", "replace") if kind == UTF16_TEXT else raw.decode("latin-1")
+        text = text.split("\0")[0].strip()
         p.name = text if text not in ("", "0") else None
-    elif tag == BOUNDARY and p.width is None and len(raw) >= 16:
-        p.width, p.height = struct.unpack_from("<ii", raw, 8)
-    elif tag == SCALE and p.psx is None and len(raw) >= 16:
-        p.psx, p.psy = struct.unpack_from("<dd", raw)
+    elif tag == BOUNDARY and kind in RECTANGLES and p.width is None and len(raw) >= 16:
+        p.width, p.height = (max(v, 0) for v in struct.unpack("<ii", raw[8:16]))
+    elif tag == SCALE and kind == PAIR and p.psx is None and len(raw) >= 16:
+        p.psx, p.psy = struct.unpack("<dd", raw[:16])
+
+
+#: Bytes of a sample by pixel type, where not one.
+SAMPLE_BYTES = {3: 2, 4: 2, 5: 4, 6: 4, 9: 4, 7: 8, 8: 8, 10: 8}
 
 
 def tile_stream(data: bytes) -> dict | None:
     """Header of a tile stream and its chunks: (coord, offset, nbytes); a cut table ends early."""
-    if data[:3] != b"SIS":
+    if len(data) < 48 or data[:3] != b"SIS":
         return None
     n_dim, extra, table, count = number(data, 12, "i"), number(data, 16, "q"), number(data, 32, "q"), number(data, 40, "i")
-    if n_dim is None or not 1 <= n_dim <= 16 or extra is None or data[extra : extra + 3] != b"ETS" or table is None or count is None:
+    if not 1 <= n_dim <= 16 or not 0 <= extra <= len(data) - 160 or data[extra : extra + 3] != b"ETS":
         return None
     head = {k: number(data, extra + d, "i") for k, d in (("pixel_type", 8), ("channels", 12), ("compression", 20), ("tile_w", 28), ("tile_h", 32), ("component_order", 148), ("pyramid", 152))}
+    colour = max(head["channels"], 0) * SAMPLE_BYTES.get(head["pixel_type"], 1)
+    background = data[extra + 108 : extra + 108 + colour]
+    head["background"] = background if len(background) == colour else b""
     size, chunks = 20 + 4 * n_dim, []
     for k in range(max(count, 0)):
-        at = table + k * size
-        if at < 0 or at + size > len(data):
+        row = data[table + k * size : table + k * size + size] if table >= 0 else b""
+        if len(row) < size:
             break
-        coord = list(struct.unpack_from(f"<{n_dim}i", data, at + 4))
-        chunks.append((coord, *struct.unpack_from("<qI", data, at + 4 + 4 * n_dim)))
+        *coord, offset, nbytes = struct.unpack(f"<4x{n_dim}iqI4x", row)
+        chunks.append((coord, offset, nbytes))
     return head | {"n_dim": n_dim, "chunks": chunks}
 
 
+def first_parsed(blobs, parse):
+    """What parse gives for the first of blobs for which it gives anything."""
+    return next((found for found in map(parse, blobs) if found is not None), None)
+
+
 def page_list(data: bytes, root: int) -> list[tuple[int, int, int, int]] | None:
     """(image_index, offset, length, file) records of the linked pages that a root points to; negative ones are dropped.
     A page that points back to an earlier one ends the walk."""
@@ -145,14 +172,14 @@ def tiff_directories(data: bytes) -> list[dict] | None:
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8:
         return None
-    version = struct.unpack_from(order + "H", data, 2)[0]
+    version = struct.unpack(order + "H", data[2:4])[0]
     if version not in (42, 43):
         return None
     big = version == 43
     count_kind, size_kind, entry, inline = ("Q", "Q", 20, 8) if big else ("H", "I", 12, 4)
 
     def read(kind: str, at: int):
-        return struct.unpack_from(order + kind, data, at)[0]
+        return struct.unpack(order + kind, data[at : at + struct.calcsize(order + kind)])[0]
 
     def directory(at: int) -> tuple[dict, int]:
         n, tags = read(count_kind, at), {}
@@ -173,7 +200,7 @@ def tiff_directories(data: bytes) -> list[dict] | None:
             elif tag == PROFILE:
                 tags[tag] = data[where : where + size]
             else:
-                values = struct.unpack_from(f"{order}{unit * many if len(unit) > 1 else str(many) + unit}", data, where)
+                values = struct.unpack(f"{order}{many * len(unit)}{unit[0]}", data[where : where + size])
                 tags[tag] = [a / b if b else 0.0 for a, b in zip(values[::2], values[1::2])] if kind in (5, 10) else list(values)
         return tags, read(size_kind, at + n * entry)
 

@@ -11,50 +11,82 @@ from pyspark.sql import types as T  # type objects: a worker that imports this h
 # JPEG markers (ITU-T T.81).
 SOI, EOI, SOS, DQT, DHT, APP14 = 0xD8, 0xD9, 0xDA, 0xDB, 0xC4, 0xEE
 FRAMES = (0xC0, 0xC1, 0xC2)
+STANDALONE = (0x01, *range(0xD0, 0xD9))
 
 
 def segments(data: bytes):
-    """(marker, start, end) of the segments up to the scan, whose end is the data's; None if the stream is broken."""
-    if data[:2] != b"\xff\xd8":
-        return None
-    out, at = [], 2
+    """(marker, start, end) of the segments from the start mark on, until the end mark, the scan (whose end is the data's),
+    or something that is no marker, as (None, start, end). A segment that the data cut off has an end beyond them."""
+    at = 2
     while at + 2 <= len(data):
         if data[at] != 0xFF:
-            return None
+            yield None, at, len(data)
+            return
         marker = data[at + 1]
         if marker == EOI:
-            return out
+            return
         if marker == SOS:
-            return [*out, (SOS, at, len(data))]
-        if at + 4 > len(data):
-            return None
-        end = at + 2 + int.from_bytes(data[at + 2 : at + 4], "big")
-        if end > len(data):
-            return None
-        out.append((marker, at, end))
-        at = end
-    return None
+            yield SOS, at, len(data)
+            return
+        if marker == SOI:
+            at += 2
+            continue
+        size = int.from_bytes(data[at + 2 : at + 4], "big") if at + 4 <= len(data) else len(data)
+        yield marker, at, at + 2 + size
+        at += 2 + size
 
 
 def subsampling(data: bytes | None) -> tuple[int, int] | None:
-    """Horizontal and vertical sampling of the first component relative to the second."""
-    for marker, start, end in segments(data or b"") or []:
+    """Horizontal and vertical sampling of the first component relative to the second, from the first frame header;
+    nothing behind that is looked at."""
+    data = data or b""
+    if data[:2] != b"\xff\xd8":
+        return None
+    for marker, start, end in _plain(data):
+        if marker is None or end - start < 4:
+            return None
         if marker in FRAMES:
-            body = data[start + 4 : end]
-            if len(body) < 12 or body[5] < 2:
+            body = data[start + 4 :]
+            if len(body) < 11 or body[5] < 2 or len(body) < 6 + 3 * body[5]:
                 return None
             (h0, v0), (h1, v1) = divmod(body[7], 16), divmod(body[10], 16)
-            return (h0 // h1, v0 // v1) if h1 and v1 and h0 // h1 and v0 // v1 else None
+            return (h0 // h1, v0 // v1) if h1 and v1 else None
     return None
 
 
+def _plain(data: bytes):
+    """Like segments, but markers without a length (restarts, start, temporary) are passed over, and a scan's header is one
+    more segment."""
+    at = 2
+    while at + 2 <= len(data):
+        marker = data[at + 1]
+        if data[at] != 0xFF:
+            yield None, at, at
+            return
+        if marker == EOI:
+            return
+        if marker in STANDALONE:
+            at += 2
+            continue
+        end = at + 2 + (int.from_bytes(data[at + 2 : at + 4], "big") if at + 4 <= len(data) else 0)
+        yield marker, at, end
+        at = end
+
+
 def split(data: bytes | None) -> tuple[bytes, bytes] | None:
-    """(tables, tile): quantisation and Huffman tables as a stream of their own, and the rest without application data."""
-    found = segments(data or b"")
-    if not found or found[-1][0] != SOS:
+    """(tables, tile): quantisation and Huffman tables as a stream of their own, and the rest without application data.
+    Without a scan the tile has what headers there are; None if a segment is cut off or the data are no JPEG stream."""
+    data = data or b""
+    if len(data) < 4 or data[:2] != b"\xff\xd8":
         return None
-    tables = b"".join(data[a:b] for m, a, b in found if m in (DQT, DHT))
-    rest = b"".join(data[a:b] for m, a, b in found if m not in (DQT, DHT) and not 0xE0 <= m <= 0xEF)
+    tables, rest = b"", b""
+    for marker, start, end in segments(data):
+        if end > len(data):
+            return None
+        if marker in (DQT, DHT):
+            tables += data[start:end]
+        elif marker is None or not 0xE0 <= marker <= 0xEF:
+            rest += data[start:end]
     return b"\xff\xd8" + tables + b"\xff\xd9", b"\xff\xd8" + rest
 
 

@@ -1,5 +1,6 @@
 """Sources of slide files. Metadata readers are Python data sources whose partitions are files, so that a file is opened
-by the executor that reads it; pixels are read by range. Listing and plain bytes come from Spark's binaryFile source."""
+by the executor that reads it, and of which it reads the blocks that hold headers and tables; tiles are read by range.
+Listing comes from Spark's binaryFile source, and so do the bytes of files in stores that only Spark reads (`parsed`)."""
 
 from __future__ import annotations
 
@@ -10,10 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lamella.functions import binfmt as B
+from lamella.functions import dicom as D
+from lamella.functions.ranged import Ranged
 from lamella.operators.catalog import discover
 
 LEVELS = "path string, chain string, dir int, width long, height long, tile_w long, tile_h long, compression int, photometric int, samples int, x_resolution double, y_resolution double, unit int, description string, has_profile boolean, error string"
-CHUNKS = "path string, chunk int, coord array<int>, offset long, nbytes long, tile_w int, tile_h int, pixel_type int, channels int, compression int, pyramid int"
+CHUNKS = "path string, chunk int, coord array<int>, offset long, nbytes long, tile_w int, tile_h int, pixel_type int, channels int, compression int, pyramid int, component_order int, background string"
+FILES = "path string, sop_class_uid string, series_instance_uid string, modality string, transfer_syntax_uid string, n_frames long, px_columns long, px_rows long, image_type string, tile_w long, tile_h long, mpp_x double, mpp_y double, objective_power double, spp int, photometric string, profile binary, error string"
+FRAMES = "path string, ordinal long, tile_index long, offset long, nbytes long"
 PYRAMIDS = "path string, pyramid int, name string, width int, height int, psx double, psy double"
 
 
@@ -36,8 +41,62 @@ def tiff_rows(path: str, data: bytes) -> list[tuple]:
 
 def stream_rows(path: str, data: bytes) -> list[tuple]:
     found = B.tile_stream(data)
-    head = ("tile_w", "tile_h", "pixel_type", "channels", "compression", "pyramid")
-    return [(path, k, *c, *(found[h] for h in head)) for k, c in enumerate(found["chunks"])] if found else []
+    head = ("tile_w", "tile_h", "pixel_type", "channels", "compression", "pyramid", "component_order")
+    return [(path, k, *c, *(found[h] for h in head), found["background"].hex()) for k, c in enumerate(found["chunks"])] if found else []
+
+
+def dicom_rows(path: str, data: bytes) -> list[tuple]:
+    """One row a file; one that can't be read has an error and nothing else."""
+    try:
+        syntax, found = D.dataset(data)
+    except (ValueError, RecursionError) as e:
+        return [(path, *[None] * 16, str(e))]
+    text = lambda tag: found.text(tag) or ""
+    tile = found.number(D.COLUMNS), found.number(D.ROWS)
+    tile = tile if None not in tile else (None, None)
+    counts = (found.number(tag) for tag in (D.FRAMES, D.MATRIX_COLUMNS, D.MATRIX_ROWS))
+    samples = found.number(D.SAMPLES)
+    return [(path, text(D.SOP_CLASS), text(D.SERIES), text(D.MODALITY), syntax, *counts, found.text(D.IMAGE_TYPE), *tile, *D.spacing(found), found.number(D.POWER, float), 3 if samples is None else samples, found.text(D.PHOTOMETRIC), D.profile(found), None)]
+
+
+def frame_rows(path: str, data: bytes) -> list[tuple]:
+    try:
+        _, found = D.dataset(data)
+    except (ValueError, RecursionError):
+        return []
+    return [(path, *f) for f in D.frames(found)]
+
+
+def read_ranges(rows: DataFrame) -> DataFrame:
+    """rows (path, offset, nbytes and others) with `data`, the bytes of each range; null where nothing is there. A task
+    opens a file once for the rows that follow each other."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*rows.schema, T.StructField("data", T.BinaryType())])
+    names = [*rows.columns, "data"]
+    at = [names.index(c) for c in ("path", "offset", "nbytes")]
+
+    def run(batches):
+        name, file = None, None
+        for batch in batches:
+            paths, offsets, sizes = (batch.column(k).to_pylist() for k in at)
+            out, held, start = [], 0, 0
+            for k, (path, offset, size) in enumerate(zip(paths, offsets, sizes)):
+                if path != name:
+                    if file is not None:
+                        file.__exit__()
+                    name, file = path, Ranged(path)
+                fits = offset is not None and size and 0 <= offset < len(file)
+                out.append(file[offset : offset + size] if fits else None)
+                held += len(out[-1] or b"")
+                if held > 32 << 20 or k + 1 == len(paths):
+                    yield pa.RecordBatch.from_arrays([*batch.slice(start, len(out)).columns, pa.array(out, pa.binary())], names=names)
+                    out, held, start = [], 0, k + 1
+        if file is not None:
+            file.__exit__()
+
+    return rows.mapInArrow(run, schema)
 
 
 def pyramid_rows(path: str, data: bytes) -> list[tuple]:
@@ -72,8 +131,8 @@ class _Reader(DataSourceReader):
         return [_Path(p) for p in self.paths]
 
     def read(self, partition) -> Iterator[tuple]:
-        with open(partition.path.removeprefix("file:"), "rb") as f:
-            yield from self.rows(partition.path, f.read())
+        with Ranged(partition.path) as data:
+            yield from self.rows(partition.path, data)
 
 
 class _Source(DataSource):
@@ -108,8 +167,24 @@ class TaggedPyramids(_Source):
         return "tagged_pyramids"
 
 
+class DicomFiles(_Source):
+    rows, shape = staticmethod(dicom_rows), FILES
+
+    @classmethod
+    def name(cls):
+        return "dicom_files"
+
+
+class DicomFrames(_Source):
+    rows, shape = staticmethod(frame_rows), FRAMES
+
+    @classmethod
+    def name(cls):
+        return "dicom_frames"
+
+
 def register(spark: SparkSession) -> None:
-    for source in (TiffDirectories, TileStreams, TaggedPyramids):
+    for source in (TiffDirectories, TileStreams, TaggedPyramids, DicomFiles, DicomFrames):
         spark.dataSource.register(source)
 
 

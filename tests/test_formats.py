@@ -18,7 +18,7 @@ def test_split_and_rejoin():
     assert tile == bytes.fromhex("FFD8FFC00005010203FFDA00030199FFD9")
     assert J.split(J.rejoin(tables, tile)) == (tables, tile)
     assert J.app14_transform(J.rejoin(tables, tile, rgb=True)) == 0
-    for bad in (None, b"", b"\xff\xd8", STREAM[:9], b"xx" + STREAM):
+    for bad in (None, b"", b"\xff\xd8", STREAM[:12], b"xx" + STREAM):
         assert J.split(bad) is None
 
 
@@ -31,11 +31,56 @@ def test_subsampling():
 
 
 def test_tag_tree():
-    [p], fields = B.tag_tree(_tree(7))
-    assert (p.name, p.width, p.height, p.psx, p.psy) == ("slide 7", 1007, 907, 0.25, 0.5) and len(fields) == 5
+    found, fields = B.tag_tree(_tree(7))
+    assert [(p.name, p.width, p.height, p.psx, p.psy) for p in found] == [("slide 7", 1007, 907, 0.25, 0.5), ("label 7", 64, 32, None, None)]
+    assert len(fields) == 15 and max(f[0] for f in fields) == 1
+    whole = _tree(7)
+    for cut in range(0, len(whole), 5):
+        B.tag_tree(whole[:cut])
     assert B.tag_tree(b"")[0] == []
 
 
+def test_streams_that_end_early():
+    whole = STREAM
+    assert J.split(whole[:2] + b"\xff\xd8" + whole[2:]) == J.split(whole)
+    frame = bytes.fromhex("FFD8FFC00011080010001003012200021101031101")
+    assert J.subsampling(frame) == (2, 2) and J.subsampling(frame[:2] + b"\xff\xd0\xff\x01" + frame[2:]) == (2, 2)
+    assert J.split(frame) == (b"\xff\xd8\xff\xd9", frame)
+
+
+def test_dicom(tmp_path, spark):
+    from lamella.functions import dicom as D
+    from lamella.functions.ranged import Ranged
+    from lamella.plans.codec_queries import _dicom
+
+    for n in (0, 1, 7):
+        (tmp_path / f"{n}.dcm").write_bytes(_dicom(n))
+    (tmp_path / "bad.dcm").write_bytes(b"no")
+    slides.register(spark)
+    names = [str(tmp_path / f"{n}.dcm") for n in (0, 1, 7, "bad")]
+    files = {r.path: r for r in spark.read.format("dicom_files").option("paths", "\n".join(names)).load().collect()}
+    assert files[names[3]].error and files[names[3]].modality is None
+    assert (files[names[0]].mpp_x, files[names[0]].mpp_y, files[names[0]].profile) == (0.5, 1.0, b"profile!") and files[names[1]].profile is None
+    frames = spark.read.format("dicom_frames").option("paths", "\n".join(names)).load()
+    got = {(r.path, r.ordinal): (r.tile_index, r.data) for r in slides.read_ranges(frames).collect()}
+    assert len(got) == 9 and all(v[1] == bytes([k] * (2 * k + 2)) for (_, k), v in got.items())
+    assert [got[names[1], k][0] for k in range(3)] == [1, 6, 11] and [got[names[0], k][0] for k in range(3)] == [0, 1, 2]
+    with Ranged(names[1]) as data:
+        assert len(data) == len(_dicom(1)) and data[130:140] == _dicom(1)[130:140] and D.dataset(data) == D.dataset(_dicom(1))
+    implicit = D.file(D.IMPLICIT, [], [])
+    assert D.dataset(implicit)[0] == D.IMPLICIT
+    for cut in range(0, len(_dicom(1)), 7):
+        slides.dicom_rows("x", _dicom(1)[:cut])
+
+
+def test_page_hops(spark):
+    from lamella.operators.tiles import page_hops
+
+    rows = [(1, k, k + 1 if k < 99 else None) for k in range(100)] + [(2, 5, 3), (2, 3, 9), (2, 9, None), (3, 1, 2), (3, 2, 1)]
+    got = {(r.slide, r.page): r.hop for r in page_hops(spark.createDataFrame(rows, "slide long, page long, next long")).collect()}
+    assert got == {(1, k): k for k in range(100)} | {(2, 5): 0, (2, 3): 1, (2, 9): 2}
+
+
 def test_tile_stream():
     found = B.tile_stream(_tiles(4))
     assert found["tile_w"] == 512 and len(found["chunks"]) == 5 and found["chunks"][4] == ([1, 1, 0, 0], 4000, 54)
