@@ -141,3 +141,20 @@ def ini_pairs(lines: DataFrame, keys: list[str]) -> DataFrame:
     out = out.withColumn("section", F.coalesce(F.last("head", ignorenulls=True).over(running), F.lit(""))).where("head IS NULL AND instr(t, '=') > 0")
     out = out.withColumns({"key": F.trim(F.substring_index("t", "=", 1)), "value": F.trim(F.substring(F.col("t"), F.instr("t", "=") + 1, F.length("t")))})
     return out.groupBy(*keys, "section", "key").agg(F.max_by("value", "line_no").alias("value"))
+
+
+def page_hops(pages: DataFrame) -> DataFrame:
+    """slide, page, hop of pages (slide, page, next) that a first one leads to, one to which no other points. Each round
+    doubles the stretch that a page looks back, so a chain of n pages takes log2(n) joins."""
+    work = Workspace(pages.sparkSession, "pages")
+    before = pages.where("next IS NOT NULL").select("slide", F.col("next").alias("page"), F.col("page").alias("back"))
+    state = pages.select("slide", "page").join(before, ["slide", "page"], "left")
+    state = work.save(state.withColumn("hop", F.when(F.col("back").isNull(), 0).otherwise(1).cast("long")), "hops")
+    for _ in range(max(1, state.count()).bit_length() + 1):
+        if not state.where("back IS NOT NULL").limit(1).count():
+            break
+        far = state.select("slide", F.col("page").alias("back"), F.col("back").alias("further"), F.col("hop").alias("more"))
+        old = state
+        state = work.save(state.join(far, ["slide", "back"], "left").select("slide", "page", F.col("further").alias("back"), (F.col("hop") + F.coalesce("more", F.lit(0))).alias("hop")), "hops")
+        work.drop(old)
+    return state.where("back IS NULL").select("slide", "page", "hop")  # a circle never comes to a first page

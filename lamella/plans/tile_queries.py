@@ -58,10 +58,10 @@ def jpeg_tables_dictionary(spark, sf_dir):
     return rows.select("ifd", F.row_number().over(Window.partitionBy("ifd").orderBy(*X.TIE)).cast("long").alias("ord"), "shared")
 
 
-@query("all_formats_union", "SELECT 'dicom' AS format, o_orderkey AS slide, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'tiff', p_partkey, row_number() OVER (ORDER BY p_partkey) FROM part UNION ALL SELECT 'vsi', s_suppkey, row_number() OVER (ORDER BY s_suppkey) FROM supplier")
+@query("all_formats_union", "SELECT 'dicom' AS format, o_orderkey AS slide, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders UNION ALL SELECT 'tiff', p_partkey, row_number() OVER (ORDER BY p_partkey) FROM part UNION ALL SELECT 'vsi', s_suppkey, row_number() OVER (ORDER BY s_suppkey) FROM supplier")
 def all_formats_union(spark, sf_dir):
     """All formats in one table, numbered from 1 in each."""
-    buckets = [("dicom", table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0"), "o_orderkey"), ("tiff", table(spark, sf_dir, "part"), "p_partkey"), ("vsi", table(spark, sf_dir, "supplier"), "s_suppkey")]
+    buckets = [("dicom", table(spark, sf_dir, "orders"), "o_orderkey"), ("tiff", table(spark, sf_dir, "part"), "p_partkey"), ("vsi", table(spark, sf_dir, "supplier"), "s_suppkey")]
     out = None
     for name, rows, key in buckets:
         one = rows.select(F.lit(name).alias("format"), F.col(key).alias("slide"))
@@ -131,10 +131,10 @@ def vsi_level_parity(spark, sf_dir):
     return rows.where("(start > 0 AND n <= start) OR (res >= start AND (res - start) % 2 = 0)").select("slide", "start", "res")
 
 
-@query("positional_zip", "WITH a AS (SELECT s_nationkey AS slide, s_name AS path, row_number() OVER w AS n, count(*) OVER (PARTITION BY s_nationkey) AS t FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_name)), b AS (SELECT c_nationkey AS slide, c_name AS meta, row_number() OVER w AS n, count(*) OVER (PARTITION BY c_nationkey) AS t FROM customer WHERE c_custkey <= 90 WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_name)) SELECT a.slide, a.path, b.meta FROM a LEFT JOIN b USING (slide, n, t)")
+@query("positional_zip", "WITH a AS (SELECT s_nationkey AS slide, s_name AS path, row_number() OVER w AS n, count(*) OVER (PARTITION BY s_nationkey) AS t FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_name)), b AS (SELECT c_nationkey AS slide, c_name AS meta, row_number() OVER w AS n, count(*) OVER (PARTITION BY c_nationkey) AS t FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_name)) SELECT a.slide, a.path, b.meta FROM a LEFT JOIN b USING (slide, n, t)")
 def positional_zip(spark, sf_dir):
     left = table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS slide", "s_name AS path")
-    right = table(spark, sf_dir, "customer").where("c_custkey <= 90").selectExpr("c_nationkey AS slide", "c_name AS path", "c_name AS meta")
+    right = table(spark, sf_dir, "customer").selectExpr("c_nationkey AS slide", "c_name AS path", "c_name AS meta")
     return T.positional_pairs(left, right, ["slide"], "path").select("slide", "path", "meta")
 
 
@@ -149,10 +149,10 @@ def raw_tile_decode(spark, sf_dir):
 
 # placed captures
 
-@query("ini_parse", "WITH o AS (SELECT * FROM orders WHERE o_orderkey % 5 = 0) SELECT o_orderkey AS slide, '' AS section, 'k0' AS key, o_custkey::VARCHAR AS value FROM o UNION ALL SELECT o_orderkey, 'GENERAL', 'SLIDE_ID', o_orderpriority || '=x' FROM o UNION ALL SELECT o_orderkey, 'DATA', 'FILE_COUNT', (o_custkey % 9)::VARCHAR FROM o")
+@query("ini_parse", "WITH o AS (SELECT * FROM orders) SELECT o_orderkey AS slide, '' AS section, 'k0' AS key, o_custkey::VARCHAR AS value FROM o UNION ALL SELECT o_orderkey, 'GENERAL', 'SLIDE_ID', o_orderpriority || '=x' FROM o UNION ALL SELECT o_orderkey, 'DATA', 'FILE_COUNT', (o_custkey % 9)::VARCHAR FROM o")
 def ini_parse(spark, sf_dir):
     text = F.expr("concat_ws('\\n', concat('k0 = ', o_custkey), '; note = 1', '[GENERAL]', concat(' SLIDE_ID = ', o_orderpriority, '=x'), '', '[DATA]', concat('FILE_COUNT=', o_custkey), concat('FILE_COUNT = ', o_custkey % 9), 'no pair')")
-    lines = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("slide"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    lines = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("slide"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     return T.ini_pairs(lines, ["slide"])
 
 
@@ -222,14 +222,12 @@ def painter_overwrite(spark, sf_dir):
 _PAGES = "pages_ AS (SELECT c_nationkey AS slide, c_custkey AS page, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS next, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n, c_acctbal FROM customer)"
 
 
-@query("linked_page_walk", f"WITH {_PAGES} SELECT slide, page, n - 1 AS hop FROM pages_ WHERE n <= 40")
+@query("linked_page_walk", f"WITH {_PAGES} SELECT slide, page, n - 1 AS hop FROM pages_")
 def linked_page_walk(spark, sf_dir):
-    """Pages in the order in which each points to the next, by a recursive query."""
+    """How many pages come before each one, from pages that point to the next."""
     order = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("slide"), F.col("c_custkey").alias("page"), F.lead("c_custkey").over(order).alias("next"), F.row_number().over(order).alias("n"))
-    rows.where("n <= 40").createOrReplaceTempView("lamella_pages")
-    return spark.sql("""WITH RECURSIVE walk(slide, page, next, hop) AS (SELECT slide, page, next, 0L FROM lamella_pages WHERE n = 1
-      UNION ALL SELECT p.slide, p.page, p.next, w.hop + 1 FROM walk w JOIN lamella_pages p ON p.slide = w.slide AND p.page = w.next) SELECT slide, page, hop FROM walk""")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("slide"), F.col("c_custkey").alias("page"), F.lead("c_custkey").over(order).alias("next"))
+    return T.page_hops(rows)
 
 
 # kernels
