@@ -9,6 +9,7 @@ from lamella.functions import scalars as S
 from lamella.functions.dims import PHOTOMETRIC, WSI_CLASS, WSI_MODALITY, compression_name, compression_tag, syntax_values_sql
 from lamella.operators import catalog as C
 from lamella.operators import planner as P
+from lamella.operators import tiles as T
 from lamella.plans import fixtures as X
 from lamella.plans.registry import query, table
 
@@ -67,13 +68,14 @@ def scan_slide_files(spark, sf_dir):
   row_number() OVER (ORDER BY min(path)) AS dir_no FROM d1 GROUP BY directory""")
 def dir_groups(spark, sf_dir):
     files = X.slide_files(spark, sf_dir).groupBy("directory").agg(F.sort_array(F.collect_list("path")).alias("files"))
-    return files.select(
+    files = files.select(
         F.col("directory").alias("dir"),
         F.size("files").cast("long").alias("n_files"),
         F.col("files")[0].alias("first_path"),
         F.md5(F.array_join("files", ",").cast("binary")).alias("files_md5"),
-        F.row_number().over(Window.orderBy(F.col("files")[0])).cast("long").alias("dir_no"),
+        F.lit(0).alias("all"),
     )
+    return T.numbered(files, "all", "first_path", "dir_no").drop("all")
 
 
 @query("series_groups", f"WITH {X.D1_SQL} SELECT directory AS dir, series, count(*) AS n_files, min(path) AS first_path FROM d1 GROUP BY ALL")
