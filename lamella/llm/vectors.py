@@ -330,7 +330,8 @@ def similar_vectors(table: DataFrame, least: float = LEAST_COSINE, work: Workspa
     usable = fine & F.coalesce(most > 0, F.lit(False)) & F.col("vec_id").isNotNull()
     # squares that are too large or too small for a double: such a vector is brought to a largest component of 1
     scale = F.when((norm > 1e-200) & (norm < 1e200), 1.0).otherwise(most)
-    keyed = F.transform("embedding", lambda x: x / scale + F.lit(0.0))  # -0.0 is 0.0
+    # -0.0 is 0.0; the scale is bound to a variable, as inside the inner function it would be computed for each component
+    keyed = F.get(F.transform(F.array(scale), lambda s: F.transform("embedding", lambda x: x / s + F.lit(0.0))), F.lit(0))
     rows = work.save(rows.select("vec_id", usable.alias("usable"), F.when(usable, keyed).alias("embedding")).withColumn("hash", F.sha2(F.to_json(F.struct("embedding")).cast("binary"), 256)), "rows")
     classes = rows.where("usable").groupBy("hash").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     classes = work.save(classes.withColumn("width", F.size("embedding")), "classes")
