@@ -118,6 +118,23 @@ def ome_type(bits: Column) -> Column:
     return F.when(bits == 16, "uint16").when(bits == 32, "uint32").otherwise("uint8")
 
 
+def _moment(days: Column, seconds: Column) -> Column:
+    return F.timestamp_seconds(days.cast("long") * 86400 + seconds.cast("long"))
+
+
 def epoch_stamp(days: Column, seconds: Column) -> Column:
     """YYYYMMDD_HHMMSS in UTC, by the true calendar."""
-    return F.date_format(F.timestamp_seconds(days.cast("long") * 86400 + seconds.cast("long")), "yyyyMMdd_HHmmss")
+    return F.date_format(_moment(days, seconds), "yyyyMMdd_HHmmss")
+
+
+def epoch_text(days: Column, seconds: Column) -> Column:
+    """YYYY-MM-DD HH:MM:SS in UTC, by the true calendar."""
+    return F.date_format(_moment(days, seconds), "yyyy-MM-dd HH:mm:ss")
+
+
+def shown_name(number: Column, name: Column, width: int = 52) -> Column:
+    """`(number) name`, in `width` characters at most: of a longer name the tail, after an ellipsis."""
+    prefix = F.concat(F.lit("("), number.cast("string"), F.lit(")"))
+    room = F.greatest(F.lit(width - 1) - F.length(prefix), F.lit(0))
+    tail = F.concat(F.lit("…"), F.right(name, F.greatest(room - 1, F.lit(0))))
+    return F.concat(prefix, F.lit(" "), F.when(F.length(name) > room, tail).otherwise(name))
