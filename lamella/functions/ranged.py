@@ -7,14 +7,21 @@ BLOCK = 1 << 16
 KEPT = 64
 
 
+def opened(path: str):
+    """(file system, name in it) of a path or URI."""
+    from pyarrow import fs
+
+    if "://" in path and not path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    plain = path.removeprefix("file:")
+    return fs.LocalFileSystem(), "/" + plain.lstrip("/") if path.startswith("file:") else plain
+
+
 class Ranged:
     """data[a:b] and len(data), like bytes, on any store that Arrow opens (local, HDFS, object stores)."""
 
     def __init__(self, path: str):
-        from pyarrow import fs
-
-        plain = path.removeprefix("file:")
-        store, name = fs.FileSystem.from_uri(path) if "://" in path and not path.startswith("file:") else (fs.LocalFileSystem(), "/" + plain.lstrip("/") if path.startswith("file:") else plain)
+        store, name = opened(path)
         self.file = store.open_input_file(name)
         self.size = self.file.size()
         self.blocks: dict[int, bytes] = {}

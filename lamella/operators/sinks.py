@@ -77,9 +77,6 @@ def svs_plan(plan: DataFrame) -> DataFrame:
     return levels.unionByName(extra).withColumns({"ifd": (F.row_number().over(order) - 1).cast("long"), "subfile_type": kind[F.col("role")]})
 
 
-TIFF_FILES = "slide long, content binary"
-
-
 def tiff_files(tiles: DataFrame) -> DataFrame:
     """A BigTIFF for each slide of rows (slide, dir, sub, width, height, tile, compression, photometric, samples, mpp,
     description, tile_index, data). A file is one value here, so this is for slides of up to some hundred MB; tables of
@@ -102,4 +99,5 @@ def tiff_files(tiles: DataFrame) -> DataFrame:
             found.append(Directory(**ints, tiles=data, subfile=int(number > 0), mpp=float(head["mpp"] or 0), sub=bool(sub), description=text))
         return pd.DataFrame({"slide": [rows["slide"].iat[0]], "content": [bigtiff(found)]})
 
-    return tiles.groupBy("slide").applyInPandas(run, TIFF_FILES)
+    shape = f"slide {tiles.schema['slide'].dataType.simpleString()}, content binary"
+    return tiles.groupBy("slide").applyInPandas(run, shape)

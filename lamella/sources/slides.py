@@ -118,6 +118,22 @@ def parsed(files: DataFrame, rows, schema: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, schema)
 
 
+def ranged(files: DataFrame, rows, schema: str) -> DataFrame:
+    """rows(path, data) of files (path), each read by range in the task that has its row; no name goes to the driver."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    shape = to_arrow_schema(files.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with Ranged(path) as data:
+                    yield pa.RecordBatch.from_pylist([dict(zip(shape.names, r)) for r in rows(path, data)], schema=shape)
+
+    return files.select("path").mapInArrow(run, schema)
+
+
 class _Path(InputPartition):
     def __init__(self, path: str):
         self.path = path
