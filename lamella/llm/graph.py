@@ -13,9 +13,13 @@ from lamella.workspace import Workspace
 
 
 def shared_buckets(members: DataFrame, work: Workspace) -> DataFrame:
-    """The saved (key, id, size) of those (key, id) rows, without repeated ones, whose key has several; size: how many."""
-    shared = work.save(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-    out = work.save(members.join(shared, "key"), "buckets")
+    """The saved (key, id, size) of those (key, id) rows, without repeated ones, whose key has several; size: how many.
+    A column texts, if there is one, says in how many texts a row is (2: or more); keys of one text alone are left out."""
+    sized = members.groupBy("key").agg(F.count("*").alias("size"), *(F.sum(c).alias(c) for c in members.columns if c == "texts")).where("size > 1")
+    if "texts" in members.columns:
+        sized = sized.where("texts > 1")
+    shared = work.save(sized.select("key", "size"), "shared")
+    out = work.save(members.select("key", "id").join(shared, "key"), "buckets")
     work.drop(shared)
     return out
 

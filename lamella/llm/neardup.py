@@ -158,11 +158,13 @@ def _bitmaps(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(size - bits.sum(1, dtype=np.int64)), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(BITMAP))], names=["id", "n", "lost", *_BITS])
 
 
-def bucket_components(members: DataFrame, close, sets_of, percent: int, work: Workspace, keys: DataFrame | None = None) -> DataFrame:
+def bucket_components(members: DataFrame, close, sets_of, percent: int, work: Workspace, keys: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """(node, component) of ids that share a key of members (key, id) and whose sets are similar; see components().
 
     close(pairs (a, b)), if not None, may drop pairs that can't be similar; sets_of(ids (id)) gives saved (id, members).
     keys, if given, has all keys of an id in columns (id, k0, k1, ...); a pair then meets at its first common key only.
+    known, if given, has links (a, b) that hold already. If members has a column texts (see shared_buckets()), these have
+    to hold all links that only keys of one text would give.
 
     Each bucket is compared with one member at first: the one that meets most others in all its buckets, which is the
     original where the others are its copies. Then all pairs of a bucket that are still of different components are
@@ -186,7 +188,7 @@ def bucket_components(members: DataFrame, close, sets_of, percent: int, work: Wo
 
     first = work.save(members.groupBy("key").agg(F.max_by("id", "weight").alias("stray")), "first")
     links = linked(members.join(first, "key").where("id <> stray"))
-    found = graph.components(links, work)
+    found = graph.components(links if known is None else links.unionByName(known), work)
     now = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     now = work.save(now, "now")
     work.drop(first, links, members)

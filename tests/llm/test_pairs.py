@@ -119,6 +119,72 @@ def test_paragraphs(spark):
     assert again.count() == 0 and repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_paragraph_links_in_one_text(spark):
+    """Paragraphs that are like an earlier one of their own text are linked with those of other texts, too."""
+    from lamella.llm.paragraphs import SIZE, SPAN, Paragraphs
+
+    def found(text):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        return Paragraphs(buf, np.array([0, len(buf)]))
+
+    rng, rows, root, owner, expected = random.Random(4), [], {}, {}, set()
+    new = lambda n: words(rng, n, 10**6)
+    for k in range(60):
+        base = new(130)
+        at = [int(p) for p in found(" ".join(base)).pos]
+        early, late = list(base), list(base)
+        for p in at:
+            early[p + SIZE - 2], late[p + SIZE - 1] = new(2)
+        rows += [(2 * k, " ".join(new(40) + early + new(40) + base)), (2 * k + 1, " ".join(new(50) + late + new(30)))]
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for k in range(0, len(rows), 2):
+        nodes = []
+        for d, t in rows[k : k + 2]:
+            paragraphs = found(t)
+            keys = paragraphs.keys()[0]
+            nodes += [((d, int(p)), set(s.tolist()), key) for p, s, key in zip(paragraphs.pos, paragraphs.sets(), keys)]
+        for x, s, key in nodes:
+            for y, t, other in nodes:
+                if x < y and (key == other).any() and 100 * len(s & t) >= 80 * len(s | t):
+                    root[top(x)] = top(y)
+        for x, _, _ in nodes:
+            owner.setdefault(top(x), set()).add(x[0])
+        for d, _ in rows[k : k + 2]:
+            chain = []
+            for p in sorted(x[1] for x, _, _ in nodes if x[0] == d and len(owner[top(x)]) > 1):
+                chain = [*chain, p] if chain and p - chain[-1] <= SPAN else [p]
+                if chain[-1] + SIZE - chain[0] >= 50:
+                    expected.add(d)
+    got = {r.doc_id for r in repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(expected) > 20 and expected <= got <= expected | shared_runs(rows, 45)
+
+
+def test_paragraphs_of_a_text_that_repeats_itself(spark):
+    """A run of such a text is found wherever in it the other document begins, and grown to its ends."""
+    rng, rows = random.Random(5), []
+    new = lambda n: words(rng, n, 10**6)
+    for k in range(30):
+        block = new(20)
+        rows += [(2 * k, " ".join(new(50) + block * 10 + new(50))), (2 * k + 1, " ".join(new(50) + (block * 4)[k % 20 :][:50] + new(50)))]
+    got = {}
+    for r in repeated_passages(spark.createDataFrame(rows, DOCS)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.start + r.words, r.removed))
+    assert set(got) == shared_runs(rows, 50) == set(range(60))
+    for k in range(0, 60, 2):
+        one, two = (t.split() for _, t in rows[k : k + 2])
+        for d, w, other, end in ((k, one, two, 250), (k + 1, two, one, 100)):
+            runs = {tuple(other[i : i + 50]) for i in range(len(other) - 49)}
+            at = [i for i in range(len(w) - 49) if tuple(w[i : i + 50]) in runs]
+            begin, to = min(x[0] for x in got[d]), max(x[1] for x in got[d])
+            assert 48 <= begin <= at[0] + 5 and at[-1] + 45 <= to <= end + 2
+        assert not min(got[k])[2] and all(x[2] for x in got[k + 1])
+
+
 def test_paragraph_query(spark):
     """Every document that shares 50 words with another one is found; one that shares no 30 is not."""
     from lamella.llm.paragraphs import op1_paragraph_dedup
